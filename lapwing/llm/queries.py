@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lapwing.llm import mixing
+from lapwing.llm import decontamination, mixing, simhash, tokens
 
 QUERIES = {
+    "op3_token_output": tokens.op3_token_output,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
+    "op6_simhash": simhash.op6_simhash,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE = {
     "op4_curriculum_mix": mixing.OP4_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
