@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lapwing.llm import decontamination, mixing, simhash, tokens
+from lapwing.llm import decontamination, mixing, quality, simhash, tokens
 
 QUERIES = {
     "op3_token_output": tokens.op3_token_output,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
     "op6_simhash": simhash.op6_simhash,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE = {
