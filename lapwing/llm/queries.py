@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lapwing.llm import decontamination, mixing, quality, simhash, tokens
+from lapwing.llm import decontamination, mixing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op3_token_output": tokens.op3_token_output,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE = {
