@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lapwing.llm import decontamination, mixing, quality, simhash, tokens, toxicity
+from lapwing.llm import decontamination, mixing, quality, simhash, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op3_token_output": tokens.op3_token_output,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
