@@ -14,61 +14,57 @@ _LOW = (1 << 60) - 1
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits of each id, exactly (a float logarithm would round near powers of two)."""
-    out, rest = np.zeros(len(ids), np.uint8), ids.copy()
-    for k in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << k)
-        out[big] += np.uint8(k)
-        rest[big] >>= np.uint64(k)
-    return out + (rest > 0).astype(np.uint8)
+    """Bits of each id; exact, as a double holds 53 bits and larger ids are shifted first."""
+    high = ids >> np.uint64(32)
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
 
 
-def encode_block(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Words and escape stream of one block: each word takes the most ids that fit from where the last one ended."""
-    n, pad = len(ids), int(COUNTS.max())
-    widths = np.zeros(n + pad, np.uint8)
-    widths[:n] = _widths(ids)
+def encode(ids: np.ndarray) -> tuple[bytes, list[int], bytes]:
+    """(words, little-endian; first word of each block; escape stream) of unsigned ids.
+
+    Each word takes the most ids that fit from where the last one ended, up to the block's end.
+    """
+    ids = ids.astype(np.uint64)
+    blocks, pad = -(-len(ids) // BLOCK), int(COUNTS.max())
+    if not blocks:
+        return b"", [], b""
+    row = BLOCK + pad  # each block with zeros behind it, so that no look ahead meets the next block
+    padded = np.zeros((blocks, row), np.uint64)
+    for k in range(blocks):
+        part = ids[k * BLOCK : (k + 1) * BLOCK]
+        padded[k, : len(part)] = part
+    flat = padded.ravel()
+    widths = _widths(flat)
     widest = {1: widths}  # k: the widest of k ids from each place
-    for k in range(1, 8):
+    for k in range(1, 7):
         half, whole = 1 << (k - 1), 1 << k
         widest[whole] = widest[half].copy()
         np.maximum(widest[whole][:-half], widest[half][half:], out=widest[whole][:-half])
-    best = np.full(n, 15, np.int64)
-    best[widths[:n] > 60] = 0
+    best = np.full(len(flat), 15, np.uint8)
+    best[widths > 60] = 0
     for s in range(14, 0, -1):
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
-        fits = np.maximum(widest[p][:n], widest[p][c - p : c - p + n]) <= BITS[s]
-        best[fits] = s
-    step, at, starts = COUNTS[best].tolist(), 0, []
-    while at < n:
-        starts.append(at)
-        at += step[at]
+        ahead = widest[p].copy()
+        np.maximum(ahead[: len(flat) - (c - p)], widest[p][c - p :], out=ahead[: len(flat) - (c - p)])
+        np.copyto(best, np.uint8(s), where=ahead <= BITS[s])
+    step, starts, offsets = COUNTS[best].tolist(), [], []
+    for k in range(blocks):
+        at, end = k * row, k * row + min(BLOCK, len(ids) - k * BLOCK)
+        offsets.append(len(starts))
+        while at < end:
+            starts.append(at)
+            at += step[at]
     starts = np.array(starts, np.int64)
     chosen = best[starts]
-    padded = np.zeros(n + pad, np.uint64)
-    padded[:n] = ids
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen).tolist():
-        rows = np.flatnonzero(chosen == s)
-        c, b = int(COUNTS[s]), int(BITS[s])
-        taken = padded[starts[rows][:, None] + np.arange(c)]
-        shifts = (np.arange(c) * b).astype(np.uint64)
-        words[rows] |= np.bitwise_or.reduce((taken & np.uint64(_LOW)) << shifts, axis=1) if b else np.uint64(0)
-    escapes = (ids[starts[chosen == 0]] >> np.uint64(60)).astype(np.uint8).tobytes()
-    return words, escapes
-
-
-def encode(ids: np.ndarray) -> tuple[bytes, list[int], bytes]:
-    """(words, little-endian; first word of each block; escape stream) of unsigned ids."""
-    ids, words, offsets, escapes, at = ids.astype(np.uint64), [], [], [], 0
-    for k in range(0, len(ids), BLOCK):
-        w, e = encode_block(ids[k : k + BLOCK])
-        offsets.append(at)
-        words.append(w)
-        escapes.append(e)
-        at += len(w)
-    return (np.concatenate(words).astype("<u8").tobytes() if words else b""), offsets, b"".join(escapes)
+        rows, b = np.flatnonzero(chosen == s), int(BITS[s])
+        for k in range(int(COUNTS[s]) if b else 0):
+            words[rows] |= (flat[starts[rows] + k] & np.uint64(_LOW)) << np.uint64(k * b)
+    escapes = (flat[starts[chosen == 0]] >> np.uint64(60)).astype(np.uint8).tobytes()
+    return words.astype("<u8").tobytes(), offsets, escapes
 
 
 def decode(words: bytes, n: int, offsets: list[int], escapes: bytes = b"") -> np.ndarray:

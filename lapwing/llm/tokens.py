@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from lapwing.llm.common import shared_dir, table, text_of
 END_ID = 0
 #: Bytes of text after which a chunk is closed.
 CHUNK_BYTES = 4_000_000
-#: Pieces that a worker remembers with their ids; it starts anew beyond that.
-CACHE = 400_000
+#: Pieces that a worker remembers with their ids, and as many again of those that came before.
+CACHE = 500_000
 CHUNKS = "shard int, chunk int, doc_ids array<bigint>, counts array<bigint>, n bigint, words binary, offsets array<int>, escapes binary"
 _loaded: dict = {}
 
@@ -38,8 +39,9 @@ class Encoder:
     """A tokenizers file, with the ids of pieces remembered.
 
     Byte-level pre-tokenization never joins a character other than white space with a space after it, so a text cut
-    before its single spaces gives, piece by piece, the ids of the whole. Texts with two spaces in a row or
-    with an added token's string go to the library whole.
+    before its single spaces gives, piece by piece, the ids of the whole. The same holds around a newline between two
+    such characters, and between a letter and a comma or full stop that ends a piece. Texts with two spaces in a
+    row or with an added token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -48,7 +50,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, list[int]] = {}
+        # what byte-level pre-tokenization writes for each byte: printable ones as they are, the others from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.bytewise = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,9 +77,9 @@ class Encoder:
             kinds = np.flatnonzero(used)
             names = coded.dictionary.to_pylist()
             ids = self.pieces([" " + names[c >> 1] if c & 1 else names[c >> 1] for c in kinds.tolist()])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            place = np.zeros(len(used), np.int64)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            place = np.zeros(len(used), np.int32)
             place[kinds] = np.arange(len(kinds))
             kind = place[code]
             size = sizes[kind]
@@ -83,12 +90,51 @@ class Encoder:
                 out[k] = every[a:b]
         return out
 
-    def pieces(self, texts: list[str]) -> list[list[int]]:
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
         if len(self.seen) > CACHE:
-            self.seen = {}
-        new = [t for t in texts if t not in self.seen]
-        self.seen.update(zip(new, self.whole(new)))
-        return [self.seen[t] for t in texts]
+            self.seen, self.older = {}, self.seen
+        seen, plan, missing = self.seen, [], {}
+        for t in texts:
+            got = seen.get(t)
+            if got is None:
+                got = _cut(t)
+                for x in got:
+                    if x not in seen:
+                        missing[x] = None
+            plan.append(got)
+        self.learn(list(missing))
+        return [p if type(p) is bytes else seen[p[0]] if len(p) == 1 else b"".join([seen[x] for x in p]) for p in plan]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces. Letters with or without a space in front are one pre-token, which the library's model takes as it is."""
+        seen, older, other, tokenize, bytewise = self.seen, self.older, [], self.tokenizer.model.tokenize, self.bytewise
+        for t in new:
+            got = older.get(t)
+            if got is not None:
+                seen[t] = got
+            elif (t[1:] if t[:1] == " " else t).isalpha():
+                seen[t] = array("I", [x.id for x in tokenize(t.encode().decode("latin-1").translate(bytewise))]).tobytes()
+            else:
+                other.append(t)
+        for t, ids in zip(other, self.whole(other)):
+            seen[t] = array("I", ids).tobytes()
+
+
+def _cut(t: str) -> list[str]:
+    """A piece, apart at lone newlines and before a comma or full stop that ends it after a letter."""
+    parts = [t]
+    if "\n" in t:
+        lines = t.split("\n")
+        if all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].removeprefix(" "), *lines[1:]]):
+            parts = [x for line in lines for x in ("\n", line)][1:]
+    out = []
+    for x in parts:
+        if x[-1:] in (",", ".") and x[-2:-1].isalpha():
+            out += [x[:-1], x[-1]]
+        else:
+            out.append(x)
+    return out
 
 
 def encoder(path: str) -> Encoder:
