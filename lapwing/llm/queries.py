@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import decontamination, mixing, quality, simhash, suffix_dedup, tokens, toxicity
+from lapwing.llm import decontamination, mixing, pseudo_likelihood, quality, simhash, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op3_token_output": tokens.op3_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE = {
