@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lapwing.llm import decontamination, mixing, pseudo_likelihood, quality, simhash, suffix_dedup, tokens, toxicity
+from lapwing.llm import decontamination, line_dedup, mixing, pseudo_likelihood, quality, simhash, suffix_dedup, tokens, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_token_output": tokens.op3_token_output,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
