@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lapwing.llm import decontamination, line_dedup, mixing, pseudo_likelihood, quality, simhash, suffix_dedup, tokens, toxicity
+from lapwing.llm import compaction, decontamination, line_dedup, mixing, pseudo_likelihood, quality, simhash, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_compaction": compaction.op2_compaction,
     "op3_token_output": tokens.op3_token_output,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE = {
+    "op2_compaction": compaction.OP2_SQL,
     "op4_curriculum_mix": mixing.OP4_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }
