@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lapwing.plans import coding_queries, signal_queries, stream_queries, vector_queries
+
+QUERIES = signal_queries.QUERIES | vector_queries.QUERIES | coding_queries.QUERIES | stream_queries.QUERIES
+ORACLE = signal_queries.ORACLE | vector_queries.ORACLE | coding_queries.ORACLE | stream_queries.ORACLE
