@@ -23,8 +23,6 @@ from lapwing.llm.common import saved, table, text_of, with_ids
 THRESHOLD = 400
 #: Positions of a text that are worked on at once.
 SLAB = 1_000_000
-#: Removed stretches, of about 60 bytes each in memory, up to which the list is broadcast instead of shuffled.
-BROADCAST_STRETCHES = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -162,8 +160,6 @@ def dedup_strings(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     texts = docs.select("doc_id", text_of().alias("text")).withColumn("text_id", F.md5("text"))
     found = saved(repeated_stretches(texts.select("text_id", "text"), threshold))
-    if found.agg(F.coalesce(F.sum(F.size("stretches")), F.lit(0))).first()[0] <= BROADCAST_STRETCHES:
-        found = F.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
