@@ -1,2 +1,116 @@
+"""Queries over symbols: tallies, ideal bits, prefix codes and their costs, training loops and rate control."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lapwing.functions.signal import lit
+from lapwing.operators import coding, quantise
+from lapwing.sources.tables import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+_T = "e as (select lang as book, unnest(string_split(text, '')) as symbol from documents where text is not null), t as (select book, symbol, count(*) as n from e where symbol <> '' group by book, symbol)"
+
+
+def _tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of texts by language: counted within each text first, so that what is shuffled is small."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("lang", F.explode(F.split("text", "")).alias("symbol"))
+    return coding.tally(docs.where("symbol <> ''"), F.col("lang"), F.col("symbol"))
+
+
+@query(f"with {_T} select book, symbol, n from t")
+def symbol_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tallies(spark, sf_dir)
+
+
+@query(f"""
+with {_T}, s as (select book, sum(n)::bigint as total, count(*) as symbols from t group by book)
+select book, total, symbols, round(sum(n * greatest(-log2(n / total), 0.001e0)), 2) as bits from t join s using (book) group by book, total, symbols""")
+def entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coding.entropy(_tallies(spark, sf_dir)).withColumn("bits", F.round("bits", 2))
+
+
+@query()
+def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimal code lengths of each language's characters. Package-merge has no SQL; tests hold it against Huffman's bound."""
+    return coding.code_lengths(_tallies(spark, sf_dir))
+
+
+@query()
+def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coding.codewords(coding.code_lengths(_tallies(spark, sf_dir)))
+
+
+@query(f"with {_T} select book, count(*) as symbols, 1.0::double as kraft, true as complete from t group by book")
+def kraft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every designed code fills its tree exactly."""
+    return coding.kraft(coding.code_lengths(_tallies(spark, sf_dir))).withColumn("kraft", F.col("kraft").cast("double"))
+
+
+@query(f"""
+with {_T}, r as (select book, symbol, n, row_number() over (partition by book order by n desc, symbol) as pos from t)
+select book, sum(n * (2 * length(bin(pos)) - 1))::bigint as bits from r group by book""")
+def stream_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the texts cost in a universal code of frequency ranks: 2 floor(log2 rank) + 1 bits."""
+    from pyspark.sql import Window
+
+    tallies = _tallies(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("n"), "symbol"))  # an alphabet is small
+    lengths = tallies.withColumn("rank", rank).select("book", "symbol", (2 * F.length(F.bin("rank")) - 1).alias("length"))
+    return coding.stream_cost(tallies, lengths)
+
+
+@query()
+def lloyd_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ladder of eight levels trained on event values, and the error after each pass."""
+    ladder, errors = quantise.lloyd_levels(table(spark, sf_dir, "events"), "value", 8)
+    return spark.createDataFrame([(k, float(e), float(ladder[k]) if k < len(ladder) else None) for k, e in enumerate(errors)], "pass int, error double, level double")
+
+
+def _rate(rows: DataFrame, weight: float) -> int:
+    """Bits that line items take if each is coded in the class of least error and rate at a rate weight."""
+    q = F.col("l_quantity")
+    costs = F.array(*[F.struct((F.pow(q - F.round(q / lit(s)) * lit(s), 2) + lit(weight * b)).alias("cost"), F.lit(b).alias("bits")) for s, b in ((32.0, 1), (8.0, 3), (2.0, 5), (1.0, 6))])
+    return rows.select(F.array_min(costs).alias("c")).agg(F.coalesce(F.sum("c.bits"), F.lit(0))).first()[0]
+
+
+@query()
+def rate_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least rate weight that keeps line items within four bits each: bisection, one aggregation a step."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity")
+    budget = 4 * rows.count()
+    low, high, steps = 0.0, 1024.0, []
+    for k in range(24):
+        middle = (low + high) / 2
+        bits = _rate(rows, middle)
+        steps.append((k, middle, int(bits), int(budget)))
+        low, high = (low, middle) if bits <= budget else (middle, high)
+        if high - low < 1e-3:
+            break
+    return spark.createDataFrame(steps, "step int, rate_weight double, bits long, budget long")
+
+
+@query("select 0::bigint as missing, 0::bigint as added")
+def plan_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantising quantised values changes nothing: the plans' differences both ways are empty."""
+    rows = table(spark, sf_dir, "lineitem")
+    step = lambda c: F.round(c / lit(4)) * lit(4)
+    once = rows.select("l_orderkey", "l_linenumber", step(F.col("l_quantity")).alias("q"))
+    again = once.select("l_orderkey", "l_linenumber", step(F.col("q")).alias("q"))
+    tagged = once.withColumn("d", F.lit(1)).unionByName(again.withColumn("d", F.lit(-1)))
+    net = tagged.groupBy("l_orderkey", "l_linenumber", "q").agg(F.sum("d").alias("d"))
+    return net.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("added"))
