@@ -1,0 +1,416 @@
+"""Each training-data operator against a brute-force version, with nulls, empty and long texts, ties, repeats and extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lapwing.llm import common, compaction, decontamination, line_dedup, mixing, pseudo_likelihood, quality, simhash, simple8b, suffix_dedup, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def frame(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame(rows, schema)
+
+
+def awkward(seed: int = 1) -> list[tuple]:
+    """Documents with every awkward case: copies, near copies, null and empty fields, one long text, repeated rows."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(80)] + ["Ünï", "don't", "x,", "THE"]
+    base = [[rng.choice(words) for _ in range(rng.randrange(25, 60))] for _ in range(8)]
+    rows = []
+    for k in range(60):
+        text = list(rng.choice(base))
+        if rng.random() < 0.5:
+            text[rng.randrange(len(text))] = rng.choice(words)
+        cut = rng.randrange(len(text))
+        rows.append((k, " ".join(text[:cut]) + "\n" + " ".join(text[cut:]), "en", rng.choice(["a", "b", "ç", None]), 1))
+    rows += [(100, None, None, None, None), (101, "", "en", "a", 0), (102, " \n\t ", "en", "b", 4), (103, "one", "en", "b", 3), (104, "one", "en", "b", 3)]
+    rows += [(None, rows[3][1], "en", "a", 2), (105, "z" * 900, "en", "a", 900), (106, "long " * 4000, "en", None, 20000), rows[5], rows[5]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return common.saved(frame(spark, awkward()).repartition(3))
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return frame(spark, [])
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return frame(spark, [(k, k % 3 > 0, k % 4 == 0) for k in range(60)], "doc_id long, quality boolean, toxic boolean").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+
+
+def test_empty_tables(spark, nothing):
+    no_labels = frame(spark, [], "doc_id long, quality int, toxic int")
+    items = frame(spark, [], "item_id long, text string")
+    assert line_dedup.dedup_lines(nothing).count() == 0
+    assert mixing.plan_mix(nothing).count() == 0 and mixing.mix(nothing).count() == 0
+    assert suffix_dedup.dedup_strings(nothing).count() == 0
+    assert simhash.simhash_groups(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
+    assert quality.judge(nothing, no_labels).count() == 0 and quality.drop_poor(nothing, no_labels).count() == 0
+    assert toxicity.toxicity(nothing, no_labels).count() == 0
+    assert pseudo_likelihood.score_corpus(nothing).count() == 0
+    assert decontamination.leaks(nothing, items).count() == 0
+
+
+def test_extra_columns_with_clashing_names(docs):
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("fp", "component_id", "th", "s1", "copy", "position", "of", "kept", "words", "hash", "size", "text_id")])
+    for f in (simhash.drop_near_duplicates, mixing.mix):
+        assert f(clash).columns == clash.columns
+    assert line_dedup.dedup_lines(clash).count() == clash.count() == suffix_dedup.dedup_strings(clash).count()
+    assert simhash.simhash_groups(clash).count() == clash.count()
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (5, 4), (9, 9), (None, 3), (7, 8), (8, 7), (3, 10), (20, 10)]
+    got = {r.node: r.component for r in common.components(frame(spark, edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 20: 1, 4: 4, 5: 4, 7: 7, 8: 7}
+    chain = frame(spark, [(k, k + 1) for k in range(300)], "a long, b long")
+    assert {r.component for r in common.components(chain).collect()} == {0}
+
+
+# lines
+
+
+def brute_lines(rows):
+    lower = {k: k + 32 for k in range(65, 91)}
+    kinds = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, out = [], {}
+    for doc_id, text in kinds:
+        lines, kept = text.split("\n"), []
+        for line in lines:
+            words = frozenset(line.translate(lower).encode().split())
+            if not words or not any(5 * len(words & s) >= 4 * len(words | s) for s in seen):
+                kept.append(line)
+            if words:
+                seen.append(words)
+        out[doc_id, text] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+    return Counter((r[0], *out[r[0], r[1] or ""]) for r in rows)
+
+
+def test_line_dedup(docs):
+    assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == brute_lines(awkward())
+
+
+def test_prefixes_hold_a_common_pair():
+    rng = random.Random(4)
+    for _ in range(400):
+        pool = list(range(60))
+        x = set(rng.sample(pool, rng.randrange(3, 40)))
+        y = (x - set(rng.sample(sorted(x), rng.randrange(0, 1 + len(x) // 5)))) | set(rng.sample(pool, rng.randrange(0, 1 + len(x) // 5)))
+        if x != y and 5 * len(x & y) >= 4 * len(x | y):
+            pairs = [{(a, b) for a, b in zip(s, s[1:])} for s in (sorted(z)[: line_dedup.prefix_length(len(z))] for z in (x, y))]
+            assert pairs[0] & pairs[1]
+
+
+# compaction
+
+
+def test_compaction(spark, docs, tmp_path):
+    store = compaction.ShardStore(spark, f"{tmp_path}/store", target_bytes=40_000, fan_in=3)
+    for k in range(5):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == k).repartition(2))
+        store.compact()
+    assert Counter(map(tuple, store.read().collect())) == Counter(map(tuple, docs.collect()))
+    assert store.read(1).count() < docs.count() and any(r.merges for r in store.runs())
+    with pytest.raises(compaction.CommitConflict):
+        store.commit([], store.version() - 1)
+    before = store.version()
+    store.append(docs.where("false"))
+    assert store.read().count() == docs.count() and store.version() == before + 1
+    store.vacuum()
+    assert store.read().count() == docs.count()
+
+
+def test_compaction_of_nothing(spark, nothing, tmp_path):
+    store = compaction.ShardStore(spark, f"{tmp_path}/store")
+    with pytest.raises(ValueError):
+        store.read()
+    assert store.append_arrivals(nothing.withColumn("arrival", F.lit(1)), "arrival") == []
+    assert store.read().count() == 0 and store.read().columns == nothing.columns
+
+
+# token output
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 59, 4096, 4097, 9000):
+        for top in (1, 2, 300, 50_257, 1 << 31, 1 << 60, 1 << 63):
+            ids = rng.integers(0, top, n, dtype=np.uint64)
+            ids[rng.random(n) < 0.3] = 0
+            words, offsets, escapes = simple8b.encode(ids)
+            assert (simple8b.decode(words, n, offsets, escapes) == ids).all() and len(offsets) == -(-n // simple8b.BLOCK)
+
+
+def test_simple8b_packs_small_ids():
+    assert len(simple8b.encode(np.zeros(240, np.uint64))[0]) == 16
+    assert len(simple8b.encode(np.ones(60, np.uint64))[0]) == 8
+
+
+def test_token_shards(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = common.shared_dir(spark)
+    tokens.write_token_shards(docs, path, tokens.tokenizer_path())
+    rows = tokens.read_token_shards(spark, path).collect()
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    expected = Counter()
+    for r in awkward():
+        expected[r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids + [0])] += 1
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == expected
+    rows.sort(key=lambda r: r.start)
+    assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+    known = [r.doc_id for r in rows if r.doc_id is not None]
+    assert known == sorted(known) and rows[0].doc_id is None
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+
+
+@pytest.mark.parametrize("text", ["a  b", "a \n b\n\n c", " lead", "tail ", "a<|endoftext|> b", "\t x　y  z's don't 12,3", "", "x\n  b", "'s 't", "end.\nNew, line", "é.\n\nà", "\x1c a\x85 b"])
+def test_pieces_give_the_ids_of_the_whole(text):
+    encode = tokens.encoder(tokens.tokenizer_path())
+    assert encode([text])[0].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# mixing
+
+
+def test_mix_targets_and_copies(docs):
+    plan = mixing.plan_mix(docs).collect()
+    size = Counter()
+    for r in awkward():
+        size[r[3]] += len(re.findall(WORD, r[1] or ""))
+    target, taken, most = {}, Counter(), Counter()
+    for r in plan:
+        target[r.source] = r.target
+        assert r.source_size == size[r.source] and r.copy <= 2
+        if r.copy:
+            taken[r.source] += r.size
+    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
+    largest = max(len(re.findall(WORD, r[1] or "")) for r in awkward())
+    assert all(t <= 2 * size[s] + 1e-9 and abs(taken[s] - t) <= largest for s, t in target.items())
+    positions = [r.position for r in plan if r.copy]
+    assert min(positions) >= 0 and max(positions) <= sum(target.values()) + 1e-6
+    del most
+
+
+def test_mix_follows_the_schedule(spark):
+    rows = [(k, "w " * 10, "en", "abc"[k % 3], 1) for k in range(900)]
+    plan = mixing.plan_mix(frame(spark, rows)).where("copy > 0").toPandas()
+    middle = plan.groupby("source").position.mean()
+    assert middle["a"] < middle["b"] < middle["c"]  # fading, steady, rising
+
+
+def test_mix_rows_in_order(docs):
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    plan = [r.doc_id for r in mixing.plan_mix(docs).where("copy > 0").orderBy("position", "doc_id").collect()]
+    assert Counter(r.doc_id for r in out.collect()) == Counter(plan)
+
+
+# repeated strings
+
+
+@pytest.mark.parametrize("length", [16, 41])
+def test_suffix_dedup(spark, docs, length):
+    rows = [(r[0], (r[1] or "").encode()) for r in awkward()]
+    at = Counter(t[i : i + length] for _, t in rows for i in range(len(t) - length + 1))
+    expected = Counter()
+    for doc_id, t in rows:
+        covered = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if at[t[i : i + length]] > 1:
+                covered[i : i + length] = b"\1" * length
+        kept = bytes(c for c, v in zip(t, covered) if not v)
+        expected[doc_id, kept, len(t), sum(covered), len([x for x in bytes(covered).split(b"\0") if x])] += 1
+    got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_strings(docs, length).collect())
+    assert got == expected
+
+
+def test_suffix_dedup_in_slabs(monkeypatch):
+    text = (b"abcdefghij" * 30 + bytes(range(200))) * 2
+    whole = [(a, n) for a, n, *_ in suffix_dedup.windows(text, 40)]
+    monkeypatch.setattr(suffix_dedup, "SLAB", 64)
+    parts = [(a, n) for a, n, *_ in suffix_dedup.windows(text, 40)]
+    cover = lambda runs: sorted(p for a, n in runs for p in range(a, a + n))
+    assert cover(whole) == cover(parts) == list(range(len(text) - 39))
+
+
+# simhash
+
+
+def brute_fingerprint(text):
+    words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    n = min(3, len(words))
+    hashes = [xxhash.xxh64(" ".join(words[i : i + n]).encode(), seed=42).intdigest() for i in range(len(words) - n + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_groups(docs):
+    rows = awkward()
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    lowest = defaultdict(lambda: None)
+    for g, r in zip(group, rows):
+        if r[0] is not None:
+            lowest[g] = r[0] if lowest[g] is None else min(lowest[g], r[0])
+    expected = Counter((r[0], p, lowest[g]) for r, p, g in zip(rows, prints, group))
+    assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.simhash_groups(docs).collect()) == expected
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect() if r.doc_id is not None]
+    assert set(kept) == {c for _, _, c in expected if c is not None}
+
+
+def test_large_buckets_link_like_small_ones(spark, monkeypatch):
+    rng = random.Random(2)
+    seeds = [rng.getrandbits(64) for _ in range(3)]
+    prints = list({s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for s in seeds for _ in range(60)})
+    rows = frame(spark, [(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    found = []
+    for bucket in (1, 1000):
+        monkeypatch.setattr(simhash, "PAIR_BUCKET", bucket)
+        links = simhash.fingerprint_links(rows)
+        found.append({r.node: r.component for r in common.components(links).collect()})
+    assert found[0] == found[1] and found[0]
+
+
+# quality
+
+
+def test_quality_counts(docs, labels):
+    got = Counter((r.doc_id, r.of.n_words, r.of.word_chars, r.of.n_symbols, r.of.n_dup_lines, r.of.n_repeat_words, r.base_failed) for r in quality.judge(docs, labels).collect())
+    expected = Counter()
+    for r in awkward():
+        text = r[1] or ""
+        words, at = re.findall(WORD, text), defaultdict(list)
+        for i in range(len(words) - 7):
+            at[tuple(words[i : i + 8])].append(i)
+        covered = {p for places in at.values() if len(places) > 1 for i in places for p in range(i, i + 8)}
+        lines = [x for x in text.split("\n") if re.search(WORD, x)]
+        expected[r[0], len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(words) < 20 or 100 * len(covered) > 30 * len(words)] += 1
+    assert got == expected
+
+
+def test_rules_find_what_marks_poor_rows(spark):
+    rows = [(k, " ".join(f"word{k * j % 97}" + ("%%%" if k % 5 == 0 else "") for j in range(60)), "en", "a", 1) for k in range(400)]
+    docs = frame(spark, rows)
+    labels = frame(spark, [(k, int(k % 5 > 0), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()}
+    assert kept and all(k % 5 for k in kept)
+    assert {r.doc_id for r in quality.drop_poor(docs, labels).collect()} == kept
+
+
+# toxicity
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(300)]
+    rows, marks = [], []
+    for k in range(600):
+        toxic = k % 4 == 0
+        text = [rng.choice(words) for _ in range(60)]
+        if toxic:
+            text[rng.randrange(60)] = rng.choice(["zvzvzvz", "qxqxqxq"])
+        rows.append((k, " ".join(text), "en", "a", 1))
+        marks.append((k, 1, int(toxic)))
+    rows += [(None, "zvzvzvz", "en", "a", 1), (1000, None, "en", "a", 1), (1001, "", "en", "a", 1)]
+    got = toxicity.toxicity(frame(spark, rows), frame(spark, marks, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id < 600]
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95
+
+
+def test_toxicity_with_one_class(spark, docs):
+    one = frame(spark, [(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.toxicity(docs, one).collect()} == {0}
+
+
+# language model
+
+
+def test_pseudo_likelihood(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{a} {a}y {a}z" for a in rng.choices("pqrstuv", k=60)), "en", "a", 1) for k in range(150)]
+    docs = frame(spark, rows + [(None, None, None, None, None), (500, "", "en", "a", 0)])
+    vocabulary, counts = pseudo_likelihood.count_vocabulary(docs)
+    assert set(vocabulary) == {x for a in "pqrstuv" for x in (a, a + "y", a + "z")} and counts[1:22].sum() == 150 * 180
+    model = pseudo_likelihood.train(docs, vocabulary, counts, rounds=4)
+    mean = lambda m: {r.doc_id: r.mean_log_likelihood for r in pseudo_likelihood.score(docs, m, vocabulary).collect()}
+    trained, plain = mean(model), mean(pseudo_likelihood.new_model(counts))
+    assert trained[500] is None and trained[None] is None
+    assert np.mean([trained[k] for k in range(150)]) > np.mean([plain[k] for k in range(150)])
+
+
+def test_gradient_step_lowers_the_loss():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(1, 50, 400)
+    model = pseudo_likelihood.new_model()
+    before = pseudo_likelihood.log_probabilities(model, ids).sum()
+    for _ in range(5):
+        pseudo_likelihood.train_step(model, pseudo_likelihood.contexts(ids), ids)
+    assert pseudo_likelihood.log_probabilities(model, ids).sum() > before
+
+
+def test_probabilities_add_up():
+    model, ids = pseudo_likelihood.new_model(), np.arange(pseudo_likelihood.VOCABULARY)
+    around = np.tile([1, 2, 3, 4], (1, 1))
+    total = sum(np.exp(pseudo_likelihood.log_probabilities(model, np.array([1, 2, i, 3, 4]))[2]) for i in ids[::512]) * 512
+    assert around.shape == (1, 4) and 0.2 < total < 5
+
+
+# decontamination
+
+
+def test_leaks(spark, docs):
+    rows = awkward()
+    words = re.findall(WORD, rows[0][1])
+    items = [(1, " ".join(words[3:14]).upper()), (2, " ".join(words[:9] + ["no", "such"])), (3, None), (4, ""), (5, "w1 w2"), (6, "one"), (6, "one"), (7, " ".join(words))]
+    table = frame(spark, items, "item_id long, text string")
+    expected = {}
+    for item_id, item in items:
+        w = re.findall(WORD, (item or "").lower())
+        if not w:
+            continue
+        n = min(5, len(w))
+        mine = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+        for r in rows:
+            d = re.findall(WORD, (r[1] or "").lower())
+            held = mine & {" ".join(d[i : i + n]) for i in range(len(d) - n + 1)}
+            if r[0] is not None and len(held) >= 0.8 * len(mine) - 1e-9:
+                expected[r[0], item_id] = (len(mine), max(len(held), expected.get((r[0], item_id), (0, 0))[1]))
+    assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontamination.leaks(docs, table).collect()} == expected
+    gone = {d for d, _ in expected}
+    assert Counter(r.doc_id for r in decontamination.drop_leaks(docs, table).collect()) == Counter(r[0] for r in rows if r[0] not in gone)
+
+
+def test_simhash_digest(spark, sf_dir):
+    assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in simhash.op6_simhash(spark, sf_dir).limit(20).collect())
+
+
+def test_kept_bytes_hash(spark, sf_dir):
+    rows = suffix_dedup.op5_suffix_dedup(spark, sf_dir).where("n_removed = 0").limit(5).collect()
+    texts = {r.doc_id: r.text for r in common.table(spark, sf_dir, "documents").collect()}
+    assert all(r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
