@@ -22,7 +22,7 @@ from lapwing.llm.common import shared_dir, table, text_of
 
 END_ID = 0
 #: Bytes of text after which a chunk is closed.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
 #: Pieces that a worker remembers with their ids, and as many again of those that came before.
 CACHE = 500_000
 CHUNKS = "shard int, chunk int, doc_ids array<bigint>, counts array<bigint>, n bigint, words binary, offsets array<int>, escapes binary"
@@ -54,6 +54,8 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.bytewise = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.space = self.bytewise[32]
+        self.marks = {mark: array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() for mark in ",."}
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -70,55 +72,80 @@ class Encoder:
             pieces = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
             bounds = pieces.offsets.to_numpy()
             coded = pc.dictionary_encode(pieces.flatten())
-            code = coded.indices.to_numpy().astype(np.int64) * 2 + 1
-            code[bounds[:-1]] -= 1  # a text's first piece has no space before it
-            used = np.zeros(2 * len(coded.dictionary), bool)
-            used[code] = True
-            kinds = np.flatnonzero(used)
-            names = coded.dictionary.to_pylist()
-            ids = self.pieces([" " + names[c >> 1] if c & 1 else names[c >> 1] for c in kinds.tolist()])
+            code = coded.indices.to_numpy().astype(np.int64)
+            firsts = [texts[k].split(" ", 1)[0] for k in plain]  # a text's first piece has no space before it
+            ids = self.pieces(coded.dictionary.to_pylist())
+            code[bounds[:-1]] = np.arange(len(ids), len(ids) + len(firsts))
+            ids += self.unspaced(firsts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat = np.frombuffer(b"".join(ids), "<u4")
-            place = np.zeros(len(used), np.int32)
-            place[kinds] = np.arange(len(kinds))
-            kind = place[code]
-            size = sizes[kind]
+            size = sizes[code]
             ends = np.cumsum(size)
-            at = np.repeat((np.cumsum(sizes) - sizes)[kind] - (ends - size), size) + np.arange(int(ends[-1]))
+            at = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - size), size)
+            at += np.arange(len(at))
             every, ends = flat[at], np.concatenate(([0], ends))
             for k, a, b in zip(plain, ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist()):
                 out[k] = every[a:b]
         return out
 
     def pieces(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit integers."""
+        """The ids of each text with a space before it, as little-endian 32-bit integers."""
         if len(self.seen) > CACHE:
             self.seen, self.older = {}, self.seen
-        seen, plan, missing = self.seen, [], {}
-        for t in texts:
-            got = seen.get(t)
+        seen, older, word = self.seen, self.older, self.word
+        out, other = list(map(seen.get, texts)), []
+        for k, got in enumerate(out):
             if got is None:
-                got = _cut(t)
-                for x in got:
-                    if x not in seen:
+                text = texts[k]
+                got = older.get(text)
+                if got is None:
+                    if text.isalpha():
+                        got = word(text)
+                    elif text[-1:] in (",", ".") and text[:-1].isalpha():
+                        core = text[:-1]
+                        got = seen.get(core) or older.get(core)
+                        if got is None:
+                            got = seen[core] = word(core)
+                        got += self.marks[text[-1]]
+                    else:
+                        other.append(k)
+                        continue
+                out[k] = seen[text] = got
+        for k, got in zip(other, self.unspaced([" " + texts[k] for k in other])):
+            out[k] = seen[texts[k]] = got
+        return out
+
+    def word(self, letters: str) -> bytes:
+        """The ids of letters with a space before them: one pre-token, which the library's model takes as it is."""
+        text = self.space + letters if letters.isascii() else (" " + letters).encode().decode("latin-1").translate(self.bytewise)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def unspaced(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as it is. Parts that begin with a space are remembered without it; others are few and not remembered."""
+        seen, older, cut, missing = self.seen, self.older, [], {}
+        for t in texts:
+            parts = _cut(t)
+            for x in parts:
+                if x[:1] != " ":
+                    missing[x] = None
+                elif x[1:] not in seen:
+                    got = older.get(x[1:])
+                    if got is None:
                         missing[x] = None
-            plan.append(got)
-        self.learn(list(missing))
-        return [p if type(p) is bytes else seen[p[0]] if len(p) == 1 else b"".join([seen[x] for x in p]) for p in plan]
-
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces. Letters with or without a space in front are one pre-token, which the library's model takes as it is."""
-        seen, older, other, tokenize, bytewise = self.seen, self.older, [], self.tokenizer.model.tokenize, self.bytewise
-        for t in new:
-            got = older.get(t)
-            if got is not None:
-                seen[t] = got
-            elif (t[1:] if t[:1] == " " else t).isalpha():
-                seen[t] = array("I", [x.id for x in tokenize(t.encode().decode("latin-1").translate(bytewise))]).tobytes()
-            else:
-                other.append(t)
-        for t, ids in zip(other, self.whole(other)):
-            seen[t] = array("I", ids).tobytes()
+                    else:
+                        seen[x[1:]] = got
+            cut.append(parts)
+        other = self.learn(list(missing))
+        find = lambda x: seen[x[1:]] if x[:1] == " " else other[x]
+        return [find(p[0]) if len(p) == 1 else b"".join(map(find, p)) for p in cut]
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encode parts; remember those with a space in front, return the others."""
+        found = {t: self.word(t[1:]) for t in new if t[:1] == " " and t[1:].isalpha()}
+        rest = [t for t in new if t not in found]
+        found.update((t, array("I", ids).tobytes()) for t, ids in zip(rest, self.whole(rest)))
+        self.seen.update((t[1:], ids) for t, ids in found.items() if t[:1] == " ")
+        return {t: ids for t, ids in found.items() if t[:1] != " "}
 
 
 def _cut(t: str) -> list[str]:
