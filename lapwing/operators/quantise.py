@@ -66,3 +66,30 @@ def lloyd_levels(values: DataFrame, column: str, levels: int, most: int = 64) ->
             break
         ladder = moved
     return ladder, errors
+
+
+def design_codebook(vectors: DataFrame, entries: int, dims: int, vector: str = "x", passes: int = 6) -> tuple[list[list[float]], list[float]]:
+    """(codebook, mean squared error after each pass): split the entries of most error in two, refine, and again until there are enough.
+
+    A pass is one aggregation that brings back sums by entry, so the driver holds the codebook alone. An entry that no
+    vector is nearest to moves beside the one of most error. Without vectors the codebook is empty.
+    """
+    start = vectors.agg(*[F.avg(F.get(vector, d)).alias(f"c{d}") for d in range(dims)]).first()
+    if start[0] is None:
+        return [], []
+    book, errors = [[float(x) for x in start]], []
+    while True:
+        for _ in range(passes):
+            near = nearest_entry(vectors, book, vector)
+            sums = near.groupBy("entry").agg(F.count("*").alias("n"), F.sum("d2").alias("e"), *[F.avg(F.get(vector, d)).alias(f"c{d}") for d in range(dims)])
+            cells = {r.entry: r for r in sums.collect()}
+            errors.append(sum(r.e for r in cells.values()) / sum(r.n for r in cells.values()))
+            worst = max(cells.values(), key=lambda r: (r.e, -r.entry))
+            moved = [[float(cells[k][f"c{d}"]) for d in range(dims)] if k in cells else [float(worst[f"c{d}"]) + 1e-3 * (d + 1) for d in range(dims)] for k in range(len(book))]
+            if moved == book:
+                break
+            book = moved
+        if len(book) >= entries:
+            return book, errors
+        order = sorted(cells.values(), key=lambda r: (-r.e, r.entry))[: entries - len(book)]
+        book += [[x + 1e-2 * (1 if d % 2 else -1) for d, x in enumerate(book[r.entry])] for r in order]
