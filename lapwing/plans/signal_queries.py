@@ -33,13 +33,13 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {_S}, p as (select *, i // 64 as block, i % 64 as pos, count(*) over (partition by stream, i // 64) as n from s),
 e as (select stream, block, n, least(pos // (n // least(16, n)), least(16, n) - 1) as part, sum(x * x) as e from p group by stream, block, n, part),
 o as (select stream, block, n, max(e) as peak, sum(e) / least(16, n) as mean from e group by stream, block, n)
-select stream, block, n, round(peak, 4) as peak_energy, round(mean, 4) as mean_energy, round(case when mean = 0 then 1 else peak / mean end, 6) as peak_to_mean,
+select stream, block, n, round(peak, 4) as peak_energy, round(mean, 8) as mean_energy, round(case when mean = 0 then 1 else peak / mean end, 6) as peak_to_mean,
   case when mean = 0 then false else peak / mean > 3 end as short from o""")
 def transient_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which blocks of a stream hold a transient."""
     of = transform.transients(_samples(spark, sf_dir))
     r = lambda c, d: F.round(c, d).alias(c)
-    return of.select("stream", "block", "n", r("peak_energy", 4), r("mean_energy", 4), r("peak_to_mean", 6), (F.col("peak_to_mean") > 3).alias("short"))
+    return of.select("stream", "block", "n", r("peak_energy", 4), r("mean_energy", 8), r("peak_to_mean", 6), (F.col("peak_to_mean") > 3).alias("short"))
 
 
 @query(f"""

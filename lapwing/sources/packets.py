@@ -9,7 +9,7 @@ from lapwing.functions.signal import ilog
 
 #: First byte of each header kind, and the six bytes that follow it.
 HEADER_KINDS = {1: "identification", 3: "comment", 5: "setup"}
-MAGIC = "766F72626973"
+MAGIC = "vorbis"
 
 
 def byte_at(data: Column, place: int) -> Column:
@@ -26,7 +26,7 @@ def packet_kind(data: Column) -> Column:
     """audio if the first bit is 0; a header's kind if its byte and magic are right; null for anything else or no bytes."""
     first = byte_at(data, 0)
     kind = F.create_map(*[F.lit(x) for k, v in HEADER_KINDS.items() for x in (k, v)])
-    is_header = F.hex(F.substring(data, 2, 6)) == MAGIC
+    is_header = F.substring(data, 2, 6) == F.encode(F.lit(MAGIC), "utf-8")
     return F.when(first.bitwiseAND(F.lit(1)) == 0, F.lit("audio")).when(is_header, F.element_at(kind, first.cast("int")))
 
 
@@ -44,7 +44,7 @@ def identification(data: Column) -> Column:
 def write_identification(channels: Column, rate: Column, nominal: Column, exponent_0: Column, exponent_1: Column) -> Column:
     """The inverse record, as binary: bitrate bounds unset."""
     number = lambda x, size: [F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)]
-    parts = [F.lit("01" + MAGIC + "00000000"), *number(channels, 1), *number(rate, 4), F.lit("00000000"), *number(nominal, 4), F.lit("00000000"), *number(exponent_0 + exponent_1 * 16, 1), F.lit("01")]
+    parts = [F.lit("01"), F.hex(F.encode(F.lit(MAGIC), "utf-8")), F.lit("00000000"), *number(channels, 1), *number(rate, 4), F.lit("00000000"), *number(nominal, 4), F.lit("00000000"), *number(exponent_0 + exponent_1 * 16, 1), F.lit("01")]
     return F.unhex(F.concat(*parts))
 
 
