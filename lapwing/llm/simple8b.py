@@ -11,10 +11,13 @@ BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Ids of a block. No word crosses a block, so blocks decode on their own.
 BLOCK = 4096
 _LOW = (1 << 60) - 1
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits of each id; exact, as a double holds 53 bits and larger ids are shifted first."""
+    """Bits of each id; exact, as a double holds 53 bits and larger ids are shifted first. Ids of 16 bits are looked up."""
+    if len(ids) and ids.max() < len(_SHORT):
+        return _SHORT[ids]
     high = ids >> np.uint64(32)
     low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)

@@ -81,8 +81,9 @@ class Encoder:
             flat = np.frombuffer(b"".join(ids), "<u4")
             size = sizes[code]
             ends = np.cumsum(size)
-            at = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - size), size)
-            at += np.arange(len(at))
+            kind = np.int32 if max(len(flat), int(ends[-1])) < 1 << 31 else np.int64
+            at = np.repeat(((np.cumsum(sizes) - sizes)[code] - (ends - size)).astype(kind), size)
+            at += np.arange(len(at), dtype=kind)
             every, ends = flat[at], np.concatenate(([0], ends))
             for k, a, b in zip(plain, ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist()):
                 out[k] = every[a:b]
