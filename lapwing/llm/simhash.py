@@ -102,9 +102,12 @@ def simhash_groups(docs: DataFrame, fps: DataFrame | None = None) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; one document of each group stays, columns as in docs."""
-    groups = saved(simhash_groups(docs))
+def drop_near_duplicates(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose group has a smaller doc_id; one document of each group stays, columns as in docs.
+
+    Groups are those of simhash_groups, or given.
+    """
+    groups = saved(simhash_groups(docs) if groups is None else groups)
     return without_ids(docs, groups.where("doc_id <> component_id").select("doc_id").distinct())
 
 
