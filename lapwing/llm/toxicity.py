@@ -125,13 +125,17 @@ def _inputs(windows, best, strong, log) -> list:
 
 
 def fit_curve(rows: list, steps: int = 40, ridge: float = 1e-2) -> list[float]:
-    """Weights of a logistic curve over (windows, best, strong, toxic) rows, the constant last; by Newton's steps."""
+    """Weights of a logistic curve over (windows, best, strong, toxic, weight) rows, the constant last; by Newton's steps.
+
+    A row counts as often as its weight says: the labelled rows that it stands for.
+    """
     x = np.array([[*_inputs(r[0], r[1], r[2], math.log), 1.0] for r in rows])
     y = np.array([float(r[3]) for r in rows])
+    n = np.array([float(r[4]) for r in rows])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w -= np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (p - y)) + ridge * w)
     return w.tolist()
 
 
@@ -140,13 +144,14 @@ def fold(doc_id: Column) -> Column:
 
 
 def _sample(labels: DataFrame, part: int) -> DataFrame:
-    """(doc_id, toxic) of a fold: each label's rows, or a hash-chosen part of about FIT_ROWS."""
+    """(doc_id, toxic, weight) of a fold: each label's rows, or a hash-chosen part of about FIT_ROWS; weight is how many rows of its label a row stands for."""
     rows = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) == part).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
-    share = F.lit(0.0)
+    share = F.lit(1.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, FIT_ROWS / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    kept = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    return kept.withColumn("weight", 1 / share)
 
 
 def learn_dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes]:
@@ -160,7 +165,7 @@ def learn_dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes
         return b"", b""
     counts = saved(words.groupBy("word").agg(F.count_if(toxic).alias("t"), F.count_if(~toxic).alias("o")))
     kinds = counts.where("t > 0").count()
-    # so rare by chance among ordinary documents that less than one of so many words would be
+    # so rare by chance among ordinary documents that less than one of so many words would be; by the rows counted, cut or not
     least = math.ceil(math.log(max(2, kinds)) / math.log(size.n / size.t)) + 1
     found = counts.where((F.col("o") == 0) & (F.col("t") >= least)).orderBy(F.desc("t"), "word").limit(CANDIDATES)
     candidates = {r.word: r.t for r in found.collect()}
@@ -179,7 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ordinary, toxic = learn_dictionaries(docs, labels)
     features = saved(window_features(docs, ordinary, toxic))
     sample = saved(_sample(labels, 2))
-    rows = [(r.windows, r.best, r.strong, r.toxic) for r in features.join(sample, "doc_id").select("doc_id", "windows", "best", "strong", "toxic").orderBy("doc_id", "windows", "best").collect()]
+    rows = [(r.windows, r.best, r.strong, r.toxic, r.weight) for r in features.join(sample, "doc_id").select("doc_id", "windows", "best", "strong", "toxic", "weight").orderBy("doc_id", "windows", "best").collect()]
     if toxic and 0 < sum(r[3] for r in rows) < len(rows):
         weights = fit_curve(rows)
         logit = F.lit(weights[-1])
@@ -187,7 +192,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             logit = logit + F.lit(w) * x
         score = 1 / (1 + F.exp(-logit))
     else:
-        score = F.lit(sum(r[3] for r in rows) / len(rows) if rows else 0.0)
+        score = F.lit(sum(r[3] * r[4] for r in rows) / sum(r[4] for r in rows) if rows else 0.0)
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return features.select("doc_id", held_out.alias("held_out"), score.cast("double").alias("score"), *["windows", "best", "strong"]).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 

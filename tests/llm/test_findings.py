@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapwing.llm import common, near_copies
+from lapwing.llm import common, near_copies, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +54,25 @@ def test_stage_drops_all_near_copies_of_similarity_0_8(spark, sf_dir, monkeypatc
         monkeypatch.setattr(near_copies, "PAIR_BUCKET", bucket)
         kept = corpus_pipeline.simhash_near_dedup(spark, docs, sf_dir)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(groups))
+
+
+def test_cut_labels_keep_their_prior(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 40)
+    docs = frame(spark, [(k, "plain words of every day", "en", "a", 1) for k in range(3000)])
+    labels = frame(spark, [(k, 1, int(k % 10 == 0)) for k in range(3000)], "doc_id long, quality int, toxic int")
+    weights = {r.toxic: r.w for r in toxicity._sample(labels, 2).groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
+    score = toxicity.toxicity(docs, labels).first().score
+    assert abs(score - weights[1] / sum(weights.values())) < 1e-9 and 0.05 < score < 0.2
+
+
+def test_curve_of_cut_rows_is_that_of_all():
+    rng = random.Random(4)
+    rows = []
+    for _ in range(30_000):
+        toxic = rng.random() < 0.1
+        strong = sum(rng.random() < (0.3 if toxic else 0.1) for _ in range(5))
+        rows.append((20, 2 * strong, strong, int(toxic), 1.0))
+    cut = [r[:4] + (1.0 if r[3] else 10.0,) for r in rows if r[3] or rng.random() < 0.1]
+    score = lambda w, r: 1 / (1 + np.exp(-np.dot(w, [*toxicity._inputs(*r[:3], np.log), 1.0])))
+    whole, part = toxicity.fit_curve(rows), toxicity.fit_curve(cut)
+    assert all(abs(score(whole, (20, 2 * s, s)) - score(part, (20, 2 * s, s))) < 0.05 for s in range(4))
