@@ -1,7 +1,7 @@
 """Language-model scoring by masked pseudo-likelihood: a small network predicts every word from both sides.
 
 The vocabulary is counted over the whole corpus. The network is trained in numpy within Spark tasks, each on
-segments of all its documents, and the tasks' weights are averaged by Spark in a tree, round after round, so what
+all words of its documents, and the tasks' weights are averaged by Spark in a tree, round after round, so what
 is learned from grows with the corpus. A word's probability is that of its class times that of it within the class.
 """
 
@@ -21,8 +21,8 @@ from lapwing.llm.common import saved, table, text_of
 #: Ids: 0 beyond the ends, then frequent words, then hash buckets for all other words. Classes are ids modulo CLASSES.
 VOCABULARY, BUCKETS, CLASSES = 4096, 256, 64
 SIDE, HIDDEN = 2, 24
-#: One segment of SEGMENT words in TRAIN_ONE_IN is trained on, in each round another.
-SEGMENT, TRAIN_ONE_IN, ROUNDS = 64, 8, 2
+#: Every run of SEGMENT words is trained on, each in one of the rounds.
+SEGMENT, ROUNDS = 64, 2
 RATE, BATCH = 0.15, 1024
 #: Partial models that one task averages.
 FAN_IN = 64
@@ -136,7 +136,10 @@ def _unpack(raw: bytes) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of training in every task and averaging by the words each has seen. Without any text: the untrained model."""
+    """Rounds of training in every task and averaging by the words each has seen. Without any text: the untrained model.
+
+    Every word of every document is trained on once: a text's segments go to the rounds in turn, the first one's by a hash.
+    """
     spark = docs.sparkSession
     state = _pack(new_model(counts))
     known = spark.sparkContext.broadcast(vocabulary)  # at most VOCABULARY words
@@ -149,17 +152,20 @@ def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, rounds: in
             for batch in batches:
                 for value in batch.column(0):
                     text = value.as_py() or ""
-                    pick, all_words = zlib.crc32(text.encode("utf-8", "surrogatepass")), text.lower().split()
-                    for k in range((pick + turn) % TRAIN_ONE_IN * SEGMENT, len(all_words) + SEGMENT * (TRAIN_ONE_IN - 1), SEGMENT * TRAIN_ONE_IN):
-                        some = [words[w] for w in all_words[k : k + SEGMENT]]
-                        if some:
-                            part = np.array(some, np.int64)
-                            around.append(contexts(part))
-                            ids.append(part)
-                            held += len(part)
-                        if held >= BATCH:
-                            train_step(model, np.concatenate(around), np.concatenate(ids))
-                            seen, held, around, ids = seen + held, 0, [], []
+                    whole = np.array([words[w] for w in text.lower().split()], np.int64)
+                    first = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    mine = (first + np.arange(len(whole)) // SEGMENT) % rounds == turn
+                    if not mine.any():
+                        continue
+                    around.append(contexts(whole)[mine])
+                    ids.append(whole[mine])
+                    held += len(ids[-1])
+                    if held >= BATCH:
+                        near, flat = np.concatenate(around), np.concatenate(ids)
+                        full = held - held % BATCH
+                        for at in range(0, full, BATCH):
+                            train_step(model, near[at : at + BATCH], flat[at : at + BATCH])
+                        seen, held, around, ids = seen + full, held - full, [near[full:]], [flat[full:]]
             if held:
                 train_step(model, np.concatenate(around), np.concatenate(ids))
             if seen + held:

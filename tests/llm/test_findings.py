@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import tempfile
 from collections import Counter
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapwing.llm import common, near_copies, toxicity
+from lapwing.llm import common, near_copies, pseudo_likelihood, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +78,24 @@ def test_curve_of_cut_rows_is_that_of_all():
     score = lambda w, r: 1 / (1 + np.exp(-np.dot(w, [*toxicity._inputs(*r[:3], np.log), 1.0])))
     whole, part = toxicity.fit_curve(rows), toxicity.fit_curve(cut)
     assert all(abs(score(whole, (20, 2 * s, s)) - score(part, (20, 2 * s, s))) < 0.05 for s in range(4))
+
+
+def test_every_word_is_trained_on_once(spark, monkeypatch):
+    texts = ["one", "two words", " ".join(f"w{k}" for k in range(300)), " ".join(f"v{k}" for k in range(70)), "", None] + ["a b c"] * 5
+    docs = frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]).coalesce(1)
+    words = Counter(w for t in texts for w in (t or "").split())
+    vocabulary, counts = pseudo_likelihood.count_vocabulary(docs)
+    path = tempfile.mkdtemp(prefix="spark-")
+
+    def note(model, around, ids, rate=0.0):
+        with open(f"{path}/ids", "a") as f:
+            f.writelines(f"{i}\n" for i in ids)
+
+    monkeypatch.setattr(pseudo_likelihood, "train_step", note)
+    cloudpickle.register_pickle_by_value(pseudo_likelihood)  # tasks take the noting version
+    try:
+        pseudo_likelihood.train(docs, vocabulary, counts)
+    finally:
+        cloudpickle.unregister_pickle_by_value(pseudo_likelihood)
+    with open(f"{path}/ids") as f:
+        assert Counter(vocabulary[int(i) - 1] for i in f) == words
