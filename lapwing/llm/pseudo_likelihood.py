@@ -2,7 +2,8 @@
 
 The vocabulary is counted over the whole corpus. The network is trained in numpy within Spark tasks, each on
 all words of its documents, and the tasks' weights are averaged by Spark in a tree, round after round, so what
-is learned from grows with the corpus. A word's probability is that of its class times that of it within the class.
+is learned from grows with the corpus. A word's probability is that of its class times that of it within the class;
+words beyond the network's vocabulary share buckets, and theirs is the bucket's times their share of it by the corpus' counts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,23 +31,42 @@ FAN_IN = 64
 
 
 class Words(dict):
-    """Word to id; unknown words go to their bucket and are not remembered."""
+    """Word in UTF-8 to id; rare words go to the bucket of their hash, which is Spark's xxhash64, and only met keeps the hashes."""
 
-    def __missing__(self, word: str) -> int:
-        return VOCABULARY - BUCKETS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+    def __init__(self, vocabulary: list[str]) -> None:
+        super().__init__((w.encode("utf-8", "surrogatepass"), k + 1) for k, w in enumerate(vocabulary))
+        self.met: list[int] = []
 
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh64_intdigest(word, 42)
+        self.met.append(code)
+        return VOCABULARY - BUCKETS + code % BUCKETS
 
-def count_vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    def ids(self, text: str | None) -> list[int]:
+        """Of a lower-cased text; met holds this text's rare words afterwards."""
+        self.met = []
+        return [self[w] for w in (text or "").encode("utf-8", "surrogatepass").split()]
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, count) of every lower-cased word of all documents, summed in tasks before counts are shuffled."""
+    words = docs.select(F.explode(F.split(F.lower(text_of()), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    return saved(words.groupBy("word").count())
+
+
+def count_vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[str], np.ndarray]:
     """The most frequent lower-cased words of all documents, ties by word, and how often each id stands in them.
 
-    Words outside the vocabulary share its hash buckets evenly; counts are summed in tasks before they are shuffled.
+    Words outside the vocabulary count for the bucket of their hash. Counts are those of count_words.
     """
-    words = docs.select(F.explode(F.split(F.lower(text_of()), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = saved(words.groupBy("word").count())
+    counts = count_words(docs) if counts is None else counts
     top = counts.orderBy(F.desc("count"), "word").limit(VOCABULARY - BUCKETS - 1).collect()
     of_id = np.zeros(VOCABULARY)
     of_id[1 : len(top) + 1] = [r["count"] for r in top]
-    of_id[VOCABULARY - BUCKETS :] = ((counts.agg(F.sum("count")).first()[0] or 0) - of_id.sum()) / BUCKETS
+    for r in counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.sum("count").alias("n")).collect():  # BUCKETS rows
+        of_id[VOCABULARY - BUCKETS + r.bucket] = r.n
+    for r in top:
+        of_id[VOCABULARY - BUCKETS + xxhash.xxh64_intdigest(r.word.encode("utf-8", "surrogatepass"), 42) % BUCKETS] -= r["count"]
     return [r.word for r in top], of_id
 
 
@@ -147,12 +168,12 @@ def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, rounds: in
         given = spark.sparkContext.broadcast(state)  # the model's fixed size
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, given=given) -> Iterator[pa.RecordBatch]:
-            model, words, seen = _unpack(given.value), Words((w, k + 1) for k, w in enumerate(known.value)), 0
+            model, words, seen = _unpack(given.value), Words(known.value), 0
             around, ids, held = [], [], 0
             for batch in batches:
                 for value in batch.column(0):
                     text = value.as_py() or ""
-                    whole = np.array([words[w] for w in text.lower().split()], np.int64)
+                    whole = np.array(words.ids(text), np.int64)
                     first = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                     mine = (first + np.arange(len(whole)) // SEGMENT) % rounds == turn
                     if not mine.any():
@@ -171,7 +192,7 @@ def train(docs: DataFrame, vocabulary: list[str], counts: np.ndarray, rounds: in
             if seen + held:
                 yield pa.record_batch([pa.array([_task()]), pa.array([seen + held]), pa.array([_pack(model)], pa.binary())], ["task", "weight", "model"])
 
-        partial = docs.select("text").mapInArrow(run, "task long, weight long, model binary")
+        partial = docs.select(F.lower(text_of())).mapInArrow(run, "task long, weight long, model binary")
         n = docs.rdd.getNumPartitions()
         while True:  # a tree of averages: no task takes in more than FAN_IN models
             n = -(-n // FAN_IN)
@@ -201,34 +222,64 @@ def _average(parts: pd.DataFrame, n: int) -> pd.DataFrame:
     return pd.DataFrame({"task": [int(parts.task.iloc[0]) % n], "weight": [weight], "model": [np.asarray(total, np.float32).tobytes()]})
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: list[str]) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, log_likelihood (summed), mean_log_likelihood (null without a word)."""
+def rare_shares(counts: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, list[float]]:
+    """((code, share) of every rare word, share of an unseen word by bucket), as logarithms; code is the word's hash.
+
+    Half a count is added to each word of a bucket and to one unseen word, so that a bucket's shares sum to 1.
+    """
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w in vocabulary], "word string")  # at most VOCABULARY words
+    code = F.xxhash64("word")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").select(code.alias("code"), F.pmod(code, F.lit(BUCKETS)).alias("bucket"), "count")
+    sums = rare.groupBy("bucket").agg((F.sum("count") + 0.5 * (F.count("*") + 1)).alias("mass"))
+    mass = {r.bucket: r.mass for r in sums.collect()}  # BUCKETS rows
+    of_bucket = [mass.get(k, 0.5) for k in range(BUCKETS)]
+    total = F.element_at(F.lit(of_bucket), (F.col("bucket") + 1).cast("int"))
+    return rare.select("code", F.log((F.col("count") + 0.5) / total).alias("share")), [float(np.log(0.5 / m)) for m in of_bucket]
+
+
+def score(docs: DataFrame, model: dict[str, np.ndarray], vocabulary: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, log_likelihood (summed), mean_log_likelihood (null without a word).
+
+    A rare word's share of its bucket is joined by its hash from counts (count_words, of docs if not given).
+    """
     spark = docs.sparkSession
+    shares, unseen = rare_shares(count_words(docs) if counts is None else counts, vocabulary)
     given, known = spark.sparkContext.broadcast(_pack(model)), spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, words = _unpack(given.value), Words((w, k + 1) for k, w in enumerate(known.value))
+        net, words = _unpack(given.value), Words(known.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [[words[w] for w in (t.as_py() or "").lower().split()] for t in part.column(1)]
+                ids, rare = [], []
+                for t in part.column(2):
+                    ids.append(words.ids(t.as_py()))
+                    rare.append(np.array(words.met, np.uint64).view(np.int64))
                 sizes = np.array([len(x) for x in ids], np.int64)
                 gap = [0] * SIDE  # documents side by side, apart by what stands beyond an end
                 flat = np.array([i for x in ids for i in (*x, *gap)], np.int64)
                 logs = log_probabilities(net, flat)
                 starts = np.concatenate(([0], np.cumsum(sizes + SIDE)[:-1]))
                 sums = [float(logs[a : a + n].sum()) for a, n in zip(starts.tolist(), sizes.tolist())]
-                means = [s / n if n else None for s, n in zip(sums, sizes.tolist())]
-                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(sizes), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.int64()))], ["row", "doc_id", "n_words", "known", "rare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lower(text_of()).alias("text"))
+    rows = saved(numbered.mapInArrow(run, "row long, doc_id long, n_words long, known double, rare array<long>"))
+    met = rows.select("row", F.explode("rare").alias("code")).join(shares, "code", "left")
+    floor = F.element_at(F.lit(unseen), (F.pmod("code", F.lit(BUCKETS)) + 1).cast("int"))
+    within = met.groupBy("row").agg(F.sum(F.coalesce("share", floor)).alias("within"))
+    whole = F.col("known") + F.coalesce("within", F.lit(0.0))
+    found = rows.select("row", "doc_id", "n_words", "known").join(within, "row", "left").withColumn("log_likelihood", whole)
+    return found.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def score_corpus(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Count, train and score. Null and empty texts have no words: log_likelihood 0, mean null. Null and repeated doc_ids
     are scored row by row; an empty table gives no row."""
-    vocabulary, counts = count_vocabulary(docs)
-    return score(docs, train(docs, vocabulary, counts, rounds), vocabulary)
+    words = count_words(docs)
+    vocabulary, counts = count_vocabulary(docs, words)
+    return score(docs, train(docs, vocabulary, counts, rounds), vocabulary, words)
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

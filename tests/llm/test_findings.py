@@ -99,3 +99,20 @@ def test_every_word_is_trained_on_once(spark, monkeypatch):
         cloudpickle.unregister_pickle_by_value(pseudo_likelihood)
     with open(f"{path}/ids") as f:
         assert Counter(vocabulary[int(i) - 1] for i in f) == words
+
+
+def test_rare_words_have_their_own_probability(spark):
+    rows = [(k, "", "en", "a", 1) for k in range(3)]
+    rows[0] = (0, " ".join(f"w{k} w{k} w{k}" for k in range(3839)), "en", "a", 1)
+    rows[1] = (1, " ".join(["Rare\u00e9"] * 2 + [f"r{k}" for k in range(900)]), "en", "a", 1)
+    docs = frame(spark, rows)
+    counts = pseudo_likelihood.count_words(docs)
+    vocabulary, of_id = pseudo_likelihood.count_vocabulary(docs, counts)
+    assert {w[0] for w in vocabulary} == {"w"}
+    model = pseudo_likelihood.new_model(of_id)  # untrained: every word at its frequency
+    asked = frame(spark, [(0, "rare\u00e9", "", "", 0), (1, "r7", "", "", 0), (2, "zzqqx", "", "", 0), (3, "w5", "", "", 0), (None, "r7 r7", "", "", 0)])
+    got = {r.doc_id: (r.n_words, r.log_likelihood) for r in pseudo_likelihood.score(asked, model, vocabulary, counts).collect()}
+    assert got[0][1] > got[1][1] > got[2][1] and abs(got[None][1] - 2 * got[1][1]) < 1e-6 and got[None][0] == 2
+    # the words' probabilities and one unseen word for each bucket sum to one
+    shares, unseen = pseudo_likelihood.rare_shares(counts, vocabulary)
+    assert abs(sum(np.exp(r.share) for r in shares.collect()) + np.exp(unseen).sum() - pseudo_likelihood.BUCKETS) < 1e-6
