@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import saved, table, text_of, with_ids, without_ids, words_of
+from lapwing.llm.common import saved, table, text_of, with_ids, without_texts, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Sketch rows, of two longs each, that may be broadcast (32 MB); a larger index is joined by shuffle.
@@ -65,9 +65,10 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents into which an item has leaked; columns as in docs."""
-    found = saved(leaks(docs, items).select("doc_id").distinct())
-    return without_ids(docs, found)
+    """docs without the rows into whose text an item has leaked, null and repeated doc_ids included; columns as in docs."""
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = saved(leaks(by_text, items).select(F.col("doc_id").alias("th")).distinct())
+    return without_texts(docs, found)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

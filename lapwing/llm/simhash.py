@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import components, saved, table, without_ids
+from lapwing.llm.common import components, saved, table, without_rows
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: 64 bits in 4 blocks of 16: two differing bits leave two blocks alone, so close pairs share one of 6 block pairs.
@@ -42,14 +42,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, th, fp) of every row; th is the text's xxhash64 and fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _block_keys(fp: Column) -> Column:
@@ -84,7 +84,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
 
 
 def simhash_groups(docs: DataFrame, fps: DataFrame | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links).
+    """One row for each row of docs: doc_id, th, fp, group, component_id (the smallest doc_id reachable over links).
 
     Equal fingerprints are one class, linked as that. Repeated rows stay repeated; null doc_ids belong to
     their group but never name it, and a group of null doc_ids only has a null component_id. An empty table
@@ -96,19 +96,29 @@ def simhash_groups(docs: DataFrame, fps: DataFrame | None = None) -> DataFrame:
     found = saved(components(links))  # by fingerprint
     grouped = found.join(classes, found.node == classes.fp).select("component", "fp", "first")
     lowest = grouped.groupBy("component").agg(F.min("first").alias("low"))
-    moved = grouped.join(lowest, "component").select("fp", "low")
+    moved = grouped.join(lowest, "component").select("fp", "low", "component")
     # one row for each fingerprint, so that the join with all documents meets no repeated key on this side
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("low", "first").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "th", "fp", "group", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; one document of each group stays, columns as in docs.
+    """One row of each group of docs, that of the smallest doc_id, then of the smallest text hash; columns as in docs.
 
-    Groups are those of simhash_groups, or given.
+    Groups are those of simhash_groups, or given: doc_id, th and group of every row. Null doc_ids come last, but
+    are rows like others; of rows with the same doc_id and text one stays.
     """
-    groups = saved(simhash_groups(docs) if groups is None else groups)
-    return without_ids(docs, groups.where("doc_id <> component_id").select("doc_id").distinct())
+    groups = saved((simhash_groups(docs) if groups is None else groups).select("doc_id", "th", "group"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = groups.groupBy("group").agg(F.min(place).alias("best"))
+    gone = saved(groups.join(best, "group").where(~place.eqNullSafe(F.col("best"))).select("doc_id", "th").distinct())
+    kept = without_rows(docs, gone)
+    twice = saved(groups.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
+    if twice.isEmpty():
+        return kept
+    single = without_rows(kept, twice)
+    several = kept.join(twice.select(F.col("doc_id").alias("_id"), F.col("th").alias("_of")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of")), "left_semi")
+    return single.unionAll(several.dropDuplicates(["doc_id", "text"]))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

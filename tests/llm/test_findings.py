@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapwing.llm import common, near_copies, pseudo_likelihood, toxicity
+from lapwing.llm import common, decontamination, near_copies, pseudo_likelihood, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -116,3 +116,17 @@ def test_rare_words_have_their_own_probability(spark):
     # the words' probabilities and one unseen word for each bucket sum to one
     shares, unseen = pseudo_likelihood.rare_shares(counts, vocabulary)
     assert abs(sum(np.exp(r.share) for r in shares.collect()) + np.exp(unseen).sum() - pseudo_likelihood.BUCKETS) < 1e-6
+
+
+def test_stages_tell_rows_of_null_and_repeated_ids_apart(spark, sf_dir):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, a), (None, "x " + c)]
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    for groups in (None, near_copies.similar_groups(docs)):
+        kept = simhash.drop_near_duplicates(docs, groups)
+        wanted = {(1, a): 1, (2, b): 1, (3, c): 1, (None, d): 1}
+        found = Counter((r.doc_id, r.text) for r in kept.collect())
+        assert all(found[k] == n for k, n in wanted.items()) and found[2, a] == found[None, a] == 0
+        assert groups is None or found == Counter(wanted)
+    clean = decontamination.drop_leaks(docs, frame(spark, [(1, a)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(x for x in rows if x[1] != a)
