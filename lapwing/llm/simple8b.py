@@ -52,14 +52,16 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[int], bytes]:
         ahead = widest[p].copy()
         np.maximum(ahead[: len(flat) - (c - p)], widest[p][c - p :], out=ahead[: len(flat) - (c - p)])
         np.copyto(best, np.uint8(s), where=ahead <= BITS[s])
-    step, starts, offsets = COUNTS[best].tolist(), [], []
-    for k in range(blocks):
-        at, end = k * row, k * row + min(BLOCK, len(ids) - k * BLOCK)
-        offsets.append(len(starts))
-        while at < end:
-            starts.append(at)
-            at += step[at]
-    starts = np.array(starts, np.int64)
+    step, ends = COUNTS[best].astype(np.int16), np.minimum(np.arange(1, blocks + 1) * BLOCK, len(ids)) - np.arange(blocks) * BLOCK
+    at, base, taken = np.zeros(blocks, np.int64), np.arange(blocks) * row, []
+    open_ = np.arange(blocks)
+    while len(open_):  # the next word of every block that isn't at its end
+        here = base[open_] + at[open_]
+        taken.append(here)
+        at[open_] += step[here]
+        open_ = open_[at[open_] < ends[open_]]
+    starts = np.sort(np.concatenate(taken))
+    offsets = np.searchsorted(starts, base).tolist()
     chosen = best[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen).tolist():

@@ -6,6 +6,7 @@ of consecutive documents: their ids and counts, the packed words, the first word
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -13,18 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapwing.llm import simple8b
 from lapwing.llm.common import shared_dir, table, text_of
+from lapwing.llm.spans import Table, names
 
 END_ID = 0
 #: Bytes of text after which a chunk is closed.
 CHUNK_BYTES = 8_000_000
-#: Pieces that a worker remembers with their ids, and as many again of those that came before.
-CACHE = 500_000
+#: Pieces that a worker remembers with their ids.
+CACHE = 1_500_000
 CHUNKS = "shard int, chunk int, doc_ids array<bigint>, counts array<bigint>, n bigint, words binary, offsets array<int>, escapes binary"
 _loaded: dict = {}
 
@@ -38,10 +39,11 @@ def tokenizer_path() -> str:
 class Encoder:
     """A tokenizers file, with the ids of pieces remembered.
 
-    Byte-level pre-tokenization never joins a character other than white space with a space after it, so a text cut
-    before its single spaces gives, piece by piece, the ids of the whole. The same holds around a newline between two
-    such characters, and between a letter and a comma or full stop that ends a piece. Texts with two spaces in a
-    row or with an added token's string go to the library whole.
+    Byte-level pre-tokenization never joins a character other than white space with a space or a newline after it, so a
+    text cut before its single spaces and before its lone newlines gives, piece by piece, the ids of the whole; and so
+    does a cut between a letter and a comma or full stop that ends a piece. Texts with other white space, with a space
+    beside another or beside a newline, or with an added token's string go to the library whole, and so does every text
+    if the file says anything else than byte-level BPE without normalizer or prefix space.
     """
 
     def __init__(self, path: str):
@@ -49,120 +51,118 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.piecewise = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = ["  ", " \n", "\n ", *self.added, *_OTHER_SPACES]
         # what byte-level pre-tokenization writes for each byte: printable ones as they are, the others from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.bytewise = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.space = self.bytewise[32]
-        self.marks = {mark: array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() for mark in ",."}
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.marks = {mark: self.coded(mark) for mark in (",", ".", "\n")} | {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew: pieces are remembered up to a bound."""
+        self.known, self.at, self.size = Table(CACHE), np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
+        self.ids, self.end = np.zeros(4 * CACHE, np.uint32), 0
+
+    def coded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [("  " in t) or any(a in t for a in self.added) for t in texts]
         out: list = [None] * len(texts)
-        plain = [k for k, o in enumerate(odd) if not o]
-        for k, ids in zip((k for k, o in enumerate(odd) if o), self.whole([t for t, o in zip(texts, odd) if o])):
+        kept = [k for k, t in enumerate(texts) if self.piecewise and not any(a in t for a in self.apart)]
+        plain = set(kept)
+        odd = [k for k in range(len(texts)) if k not in plain]
+        for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
             out[k] = np.array(ids, np.uint32)
-        if plain:
-            pieces = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
-            bounds = pieces.offsets.to_numpy()
-            coded = pc.dictionary_encode(pieces.flatten())
-            code = coded.indices.to_numpy().astype(np.int64)
-            firsts = [texts[k].split(" ", 1)[0] for k in plain]  # a text's first piece has no space before it
-            ids = self.pieces(coded.dictionary.to_pylist())
-            code[bounds[:-1]] = np.arange(len(ids), len(ids) + len(firsts))
-            ids += self.unspaced(firsts)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            size = sizes[code]
-            ends = np.cumsum(size)
-            kind = np.int32 if max(len(flat), int(ends[-1])) < 1 << 31 else np.int64
-            at = np.repeat(((np.cumsum(sizes) - sizes)[code] - (ends - size)).astype(kind), size)
-            at += np.arange(len(at), dtype=kind)
-            every, ends = flat[at], np.concatenate(([0], ends))
-            for k, a, b in zip(plain, ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist()):
+        if kept:
+            raw = [texts[k].encode() for k in kept]
+            lengths = np.array([len(x) for x in raw])
+            ends = np.cumsum(lengths)
+            data = b"".join(raw)
+            of = np.frombuffer(data, np.uint8)
+            cuts = of == 32
+            line = of == 10
+            cuts[1:-1] |= line[1:-1] & ~line[:-2] & ~line[2:]
+            cuts[(ends - lengths)[lengths > 0]] = True
+            starts = np.flatnonzero(cuts)
+            sizes = np.diff(starts, append=len(data))
+            every, counts = self.pieces(data, starts, sizes)
+            first = np.searchsorted(starts, np.append(ends - lengths, len(data)))
+            bounds = np.concatenate(([0], np.cumsum(counts)))[first].tolist()
+            for k, a, b in zip(kept, bounds, bounds[1:]):
                 out[k] = every[a:b]
         return out
 
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text with a space before it, as little-endian 32-bit integers."""
-        if len(self.seen) > CACHE:
-            self.seen, self.older = {}, self.seen
-        seen, older, word = self.seen, self.older, self.word
-        out, other = list(map(seen.get, texts)), []
-        for k, got in enumerate(out):
-            if got is None:
-                text = texts[k]
-                got = older.get(text)
-                if got is None:
-                    if text.isalpha():
-                        got = word(text)
-                    elif text[-1:] in (",", ".") and text[:-1].isalpha():
-                        core = text[:-1]
-                        got = seen.get(core) or older.get(core)
-                        if got is None:
-                            got = seen[core] = word(core)
-                        got += self.marks[text[-1]]
-                    else:
-                        other.append(k)
-                        continue
-                out[k] = seen[text] = got
-        for k, got in zip(other, self.unspaced([" " + texts[k] for k in other])):
-            out[k] = seen[texts[k]] = got
-        return out
-
-    def word(self, letters: str) -> bytes:
-        """The ids of letters with a space before them: one pre-token, which the library's model takes as it is."""
-        text = self.space + letters if letters.isascii() else (" " + letters).encode().decode("latin-1").translate(self.bytewise)
+    def pieces(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces of data, ids of each). Pieces unknown so far are encoded once and remembered."""
+        one, two = names(data, starts, sizes)
+        code = self.known.find(one, two)
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            _, new = np.unique(one[missing], return_index=True)
+            new = missing[new]
+            if self.known.n + len(new) > CACHE:
+                self.forget()
+                _, new = np.unique(one, return_index=True)
+                missing = np.arange(len(one))
+            if len(new) > CACHE:  # more than is ever remembered: in two halves, cut at a piece
+                half = len(starts) // 2
+                parts = [self.pieces(data, starts[part], sizes[part]) for part in (slice(None, half), slice(half, None))]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            self.learn([data[a : a + n].decode() for a, n in zip(starts[new].tolist(), sizes[new].tolist())])
+            self.known.add(one[new], two[new])
+            code[missing] = self.known.find(one[missing], two[missing])
+        size = self.size[code]
+        ends = np.cumsum(size)
+        place = np.repeat(self.at[code] - (ends - size), size)
+        place += np.arange(len(place))
+        return self.ids[place], size
+
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces, each with the space or newline that it begins with, and keep their ids."""
+        found: list = [None] * len(new)
+        rest = []
+        for k, text in enumerate(new):
+            lead = text[:1] if text[:1] in (" ", "\n") else ""
+            mark = text[-1:] if text[-1:] in (",", ".") else ""
+            core = text[len(lead) : len(text) - len(mark)]
+            if core.isalpha():
+                found[k] = (self.marks["\n"] if lead == "\n" else b"") + self.word(core, " " if lead == " " else "") + self.marks[mark]
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self.whole([new[k] for k in rest])):
+            found[k] = array("I", ids).tobytes()
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        here = slice(self.known.n, self.known.n + len(new))
+        self.size[here], self.at[here] = sizes, self.end + np.cumsum(sizes) - sizes
+        if self.end + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.end], np.zeros(max(len(flat), len(self.ids)), np.uint32)))
+        self.ids[self.end : self.end + len(flat)] = flat
+        self.end += len(flat)
+
+    def word(self, letters: str, before: str) -> bytes:
+        """The ids of letters with a space or nothing before them: one pre-token, which the library's model takes as it is."""
+        text = (self.bytewise[32] if before else "") + letters if letters.isascii() else (before + letters).encode().decode("latin-1").translate(self.bytewise)
         return array("I", [x.id for x in self.tokenizer.model.tokenize(text)]).tobytes()
 
-    def unspaced(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as it is. Parts that begin with a space are remembered without it; others are few and not remembered."""
-        seen, older, cut, missing = self.seen, self.older, [], {}
-        for t in texts:
-            parts = _cut(t)
-            for x in parts:
-                if x[:1] != " ":
-                    missing[x] = None
-                elif x[1:] not in seen:
-                    got = older.get(x[1:])
-                    if got is None:
-                        missing[x] = None
-                    else:
-                        seen[x[1:]] = got
-            cut.append(parts)
-        other = self.learn(list(missing))
-        find = lambda x: seen[x[1:]] if x[:1] == " " else other[x]
-        return [find(p[0]) if len(p) == 1 else b"".join(map(find, p)) for p in cut]
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encode parts; remember those with a space in front, return the others."""
-        found = {t: self.word(t[1:]) for t in new if t[:1] == " " and t[1:].isalpha()}
-        rest = [t for t in new if t not in found]
-        found.update((t, array("I", ids).tobytes()) for t, ids in zip(rest, self.whole(rest)))
-        self.seen.update((t[1:], ids) for t, ids in found.items() if t[:1] == " ")
-        return {t: ids for t, ids in found.items() if t[:1] != " "}
-
-
-def _cut(t: str) -> list[str]:
-    """A piece, apart at lone newlines and before a comma or full stop that ends it after a letter."""
-    parts = [t]
-    if "\n" in t:
-        lines = t.split("\n")
-        if all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].removeprefix(" "), *lines[1:]]):
-            parts = [x for line in lines for x in ("\n", line)][1:]
-    out = []
-    for x in parts:
-        if x[-1:] in (",", ".") and x[-2:-1].isalpha():
-            out += [x[:-1], x[-1]]
-        else:
-            out.append(x)
-    return out
+
+def cuts_at_spaces(file: dict) -> bool:
+    """Whether a tokenizers file is one that Encoder may cut for: byte-level BPE, nothing before or behind it."""
+    cut, model, last = file.get("pre_tokenizer") or {}, file["model"], file.get("post_processor") or {"type": "ByteLevel"}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and last["type"] == "ByteLevel"
+    bare = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    free = not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in file.get("added_tokens", ()))
+    return plain and bare and free and not file.get("normalizer") and not file.get("truncation") and not file.get("padding")
+
+
+#: White space other than the space and the newline.
+_OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
 def encoder(path: str) -> Encoder:
