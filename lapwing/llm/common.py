@@ -28,8 +28,10 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; its own one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a folder of its own only where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = getattr(spark, "_lapwing_scratch", None) or tempfile.mkdtemp(prefix="lapwing-")
         spark._lapwing_scratch = base

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
@@ -70,3 +71,28 @@ class Table:
             self.slots[place[free]] = numbers[free]  # of several at one place the last stays
             left = left[self.slots[place[left]] != numbers[left]]
             place[left] = (place[left] + 1) & (len(self.slots) - 1)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def texts_of(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """(bytes of all texts of a string column without nulls, where each begins and the last ends)."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    return (data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""), offsets - offsets[0]
+
+
+def words_of(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word, its size, words before each text and in all): words are what ASCII white space parts; none crosses a text."""
+    inside = ~_SPACE[np.frombuffer(data, np.uint8)]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edges] |= inside[edges]
+    ends[edges - 1] |= inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1 - starts, np.searchsorted(starts, offsets)

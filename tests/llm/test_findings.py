@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import random
-import tempfile
 from collections import Counter
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapwing.llm import common, decontamination, near_copies, pseudo_likelihood, simhash, toxicity
+from lapwing.llm import common, decontamination, near_copies, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,44 +78,6 @@ def test_curve_of_cut_rows_is_that_of_all():
     assert all(abs(score(whole, (20, 2 * s, s)) - score(part, (20, 2 * s, s))) < 0.05 for s in range(4))
 
 
-def test_every_word_is_trained_on_once(spark, monkeypatch):
-    texts = ["one", "two words", " ".join(f"w{k}" for k in range(300)), " ".join(f"v{k}" for k in range(70)), "", None] + ["a b c"] * 5
-    docs = frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]).coalesce(1)
-    words = Counter(w for t in texts for w in (t or "").split())
-    vocabulary, counts = pseudo_likelihood.count_vocabulary(docs)
-    path = tempfile.mkdtemp(prefix="spark-")
-
-    def note(model, around, ids, rate=0.0):
-        with open(f"{path}/ids", "a") as f:
-            f.writelines(f"{i}\n" for i in ids)
-
-    monkeypatch.setattr(pseudo_likelihood, "train_step", note)
-    cloudpickle.register_pickle_by_value(pseudo_likelihood)  # tasks take the noting version
-    try:
-        pseudo_likelihood.train(docs, vocabulary, counts)
-    finally:
-        cloudpickle.unregister_pickle_by_value(pseudo_likelihood)
-    with open(f"{path}/ids") as f:
-        assert Counter(vocabulary[int(i) - 1] for i in f) == words
-
-
-def test_rare_words_have_their_own_probability(spark):
-    rows = [(k, "", "en", "a", 1) for k in range(3)]
-    rows[0] = (0, " ".join(f"w{k} w{k} w{k}" for k in range(3839)), "en", "a", 1)
-    rows[1] = (1, " ".join(["Rare\u00e9"] * 2 + [f"r{k}" for k in range(900)]), "en", "a", 1)
-    docs = frame(spark, rows)
-    counts = pseudo_likelihood.count_words(docs)
-    vocabulary, of_id = pseudo_likelihood.count_vocabulary(docs, counts)
-    assert {w[0] for w in vocabulary} == {"w"}
-    model = pseudo_likelihood.new_model(of_id)  # untrained: every word at its frequency
-    asked = frame(spark, [(0, "rare\u00e9", "", "", 0), (1, "r7", "", "", 0), (2, "zzqqx", "", "", 0), (3, "w5", "", "", 0), (None, "r7 r7", "", "", 0)])
-    got = {r.doc_id: (r.n_words, r.log_likelihood) for r in pseudo_likelihood.score(asked, model, vocabulary, counts).collect()}
-    assert got[0][1] > got[1][1] > got[2][1] and abs(got[None][1] - 2 * got[1][1]) < 1e-6 and got[None][0] == 2
-    # the words' probabilities and one unseen word for each bucket sum to one
-    shares, unseen = pseudo_likelihood.rare_shares(counts, vocabulary)
-    assert abs(sum(np.exp(r.share) for r in shares.collect()) + np.exp(unseen).sum() - pseudo_likelihood.BUCKETS) < 1e-6
-
-
 def test_stages_tell_rows_of_null_and_repeated_ids_apart(spark, sf_dir):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
     rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, a), (None, "x " + c)]

@@ -348,37 +348,7 @@ def test_toxicity_with_one_class(spark, docs):
     assert {r.predicted for r in toxicity.toxicity(docs, one).collect()} == {0}
 
 
-# language model
-
-
-def test_pseudo_likelihood(spark):
-    rng = random.Random(5)
-    rows = [(k, " ".join(f"{a} {a}y {a}z" for a in rng.choices("pqrstuv", k=60)), "en", "a", 1) for k in range(150)]
-    docs = frame(spark, rows + [(None, None, None, None, None), (500, "", "en", "a", 0)])
-    vocabulary, counts = pseudo_likelihood.count_vocabulary(docs)
-    assert set(vocabulary) == {x for a in "pqrstuv" for x in (a, a + "y", a + "z")} and counts[1:22].sum() == 150 * 180
-    model = pseudo_likelihood.train(docs, vocabulary, counts, rounds=4)
-    mean = lambda m: {r.doc_id: r.mean_log_likelihood for r in pseudo_likelihood.score(docs, m, vocabulary).collect()}
-    trained, plain = mean(model), mean(pseudo_likelihood.new_model(counts))
-    assert trained[500] is None and trained[None] is None
-    assert np.mean([trained[k] for k in range(150)]) > np.mean([plain[k] for k in range(150)])
-
-
-def test_gradient_step_lowers_the_loss():
-    rng = np.random.default_rng(0)
-    ids = rng.integers(1, 50, 400)
-    model = pseudo_likelihood.new_model()
-    before = pseudo_likelihood.log_probabilities(model, ids).sum()
-    for _ in range(5):
-        pseudo_likelihood.train_step(model, pseudo_likelihood.contexts(ids), ids)
-    assert pseudo_likelihood.log_probabilities(model, ids).sum() > before
-
-
-def test_probabilities_add_up():
-    model, ids = pseudo_likelihood.new_model(), np.arange(pseudo_likelihood.VOCABULARY)
-    around = np.tile([1, 2, 3, 4], (1, 1))
-    total = sum(np.exp(pseudo_likelihood.log_probabilities(model, np.array([1, 2, i, 3, 4]))[2]) for i in ids[::512]) * 512
-    assert around.shape == (1, 4) and 0.2 < total < 5
+# language model: see test_pseudo_likelihood.py
 
 
 # decontamination
