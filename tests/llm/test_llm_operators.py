@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lapwing.llm import common, compaction, decontamination, line_dedup, mixing, pseudo_likelihood, quality, simhash, simple8b, suffix_dedup, tokens, toxicity
@@ -107,15 +108,37 @@ def test_line_dedup(docs):
     assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == brute_lines(awkward())
 
 
-def test_prefixes_hold_a_common_pair():
+def test_prefixes_hold_a_common_key():
     rng = random.Random(4)
-    for _ in range(400):
-        pool = list(range(60))
+    for _ in range(3000):
+        pool = [rng.getrandbits(64) for _ in range(60)]
+        rank = {w: rng.choice((1, 2, 20, 30)) for w in pool}
         x = set(rng.sample(pool, rng.randrange(3, 40)))
         y = (x - set(rng.sample(sorted(x), rng.randrange(0, 1 + len(x) // 5)))) | set(rng.sample(pool, rng.randrange(0, 1 + len(x) // 5)))
         if x != y and 5 * len(x & y) >= 4 * len(x | y):
-            pairs = [{(a, b) for a, b in zip(s, s[1:])} for s in (sorted(z)[: line_dedup.prefix_length(len(z))] for z in (x, y))]
-            assert pairs[0] & pairs[1]
+            keys = []
+            for z in (x, y):
+                ordered = sorted(z, key=lambda w: (rank[w], w))
+                keys.append(set(line_dedup.prefix_keys(np.array(ordered, np.uint64), np.array([rank[w] for w in ordered], np.uint8), np.array([len(z)]))[0].tolist()))
+            assert keys[0] & keys[1]
+
+
+def test_lines_with_common_keys_and_templates(spark, monkeypatch):
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to"]
+    rows = [(k, "\n".join(" ".join([*common, "posted", "by", rng.choice(["ann", "bob", "cy"]), f"n{rng.randrange(40)}", f"m{rng.randrange(6)}"][: rng.randrange(5, 10)]) for _ in range(4))) for k in range(120)]
+    base = [f"u{j}" for j in range(40)]
+    rows += [(1000 + k, " ".join(w if rng.random() > 0.06 else f"e{rng.randrange(9)}" for w in base)) for k in range(60)]
+    docs = frame(spark, [(k, t, "en", "a", 1) for k, t in rows]).repartition(3)
+    for bucket, rare in ((32, 12), (2, 3), (3, 0)):
+        monkeypatch.setattr(line_dedup, "PAIR_BUCKET", bucket)
+        monkeypatch.setattr(line_dedup, "RARE", rare)
+        cloudpickle.register_pickle_by_value(line_dedup)  # tasks take these bounds too
+        line_dedup.prefix_lengths.cache_clear()
+        try:
+            assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == brute_lines(rows)
+        finally:
+            cloudpickle.unregister_pickle_by_value(line_dedup)
 
 
 # compaction
