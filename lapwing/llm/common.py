@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a bare id list that may be broadcast (about 16 MB); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts the lineage, and lost executors lose nothing."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write the rows to the shared folder and read them back: cuts the lineage, and lost executors lose nothing.
+
+    The shuffles of the write are needed no longer once it is done, so their files go at its end.
+    """
+    spark, path = df.sparkSession, path or shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:  # known to this version
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
