@@ -123,6 +123,17 @@ def test_prefixes_hold_a_common_key():
             assert keys[0] & keys[1]
 
 
+def test_near_sets_have_a_signature_in_common():
+    rng = random.Random(6)
+    for _ in range(2000):
+        pool = [rng.getrandbits(64) for _ in range(70)]
+        x = set(rng.sample(pool, rng.randrange(1, 60)))
+        y = (x - set(rng.sample(sorted(x), rng.randrange(0, 1 + len(x) // 5)))) | set(rng.sample(pool, rng.randrange(0, 1 + len(x) // 5)))
+        if y and 5 * len(x & y) >= 4 * len(x | y):
+            sig = [set(line_dedup.signatures(np.array(sorted(z), np.uint64), np.array([len(z)]))[0].tolist()) for z in (x, y)]
+            assert sig[0] & sig[1]
+
+
 def test_lines_with_common_keys_and_templates(spark, monkeypatch):
     rng = random.Random(9)
     common = ["the", "of", "and", "to"]
@@ -130,8 +141,8 @@ def test_lines_with_common_keys_and_templates(spark, monkeypatch):
     base = [f"u{j}" for j in range(40)]
     rows += [(1000 + k, " ".join(w if rng.random() > 0.06 else f"e{rng.randrange(9)}" for w in base)) for k in range(60)]
     docs = frame(spark, [(k, t, "en", "a", 1) for k, t in rows]).repartition(3)
-    for bucket, rare in ((32, 12), (2, 3), (3, 0)):
-        monkeypatch.setattr(line_dedup, "PAIR_BUCKET", bucket)
+    for hubs, rare in ((32, 12), (1, 3), (3, 0)):
+        monkeypatch.setattr(line_dedup, "HUBS", hubs)
         monkeypatch.setattr(line_dedup, "RARE", rare)
         cloudpickle.register_pickle_by_value(line_dedup)  # tasks take these bounds too
         line_dedup.prefix_lengths.cache_clear()
