@@ -19,6 +19,8 @@ SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 SHARE, MAX_REPEATS = 1.5, 2
 #: Hash buckets of a source for the two-level running sum; a bucket is one window partition.
 BUCKET_DIGITS = 3
+#: Sources, a few hundred bytes each, whose targets are broadcast; of more they are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -58,7 +60,9 @@ def _segments(targets: DataFrame, schedules) -> DataFrame:
             done += area
         rows.append(F.array(*out))
     pick = F.element_at(F.array(*rows), (F.col("place") % len(schedules) + 1).cast("int"))
-    return targets.withColumn("segments", pick).withColumn("all_tokens", F.sum("target").over(Window.partitionBy(F.lit(1))))
+    every = Window.partitionBy(F.lit(1))  # one row for each source
+    demand = [F.coalesce(F.sum(F.when(F.col("place") % len(schedules) == k, F.col("target"))).over(every), F.lit(0.0)) for k in range(len(schedules))]
+    return targets.withColumn("segments", pick).withColumn("demand", F.array(*[F.struct(d.alias("tokens"), r.alias("segments")) for d, r in zip(demand, rows)]))
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -68,22 +72,24 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     A document's size is its number of words (null text: 0). Within a source, documents follow
     md5(doc_id), ties by doc_id; running sums of size are exact longs, so reruns agree. Every document is
     taken floor(target / source_size) times, and once more while the middle of it lies within the rest; never
-    more than max_repeats times. Position is the token offset in training at which the schedule's demand
-    reaches the copy. Sources with no words have target 0. Repeated rows count as documents of their own, and
+    more than max_repeats times. The training time of a copy is that at which its source's demand reaches it, and its
+    position is the demand of all sources by then, in words: it differs from the words really before the copy by less than a
+    document of each source. Sources with no words have target 0. Repeated rows count as documents of their own, and
     take their place one after the other; null doc_ids come first. An empty table gives no row.
     """
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     sizes = docs.select("doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"), key.alias("key"), F.xxhash64("text").alias("hash"))
     sizes = saved(sizes.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)))
-    targets = _segments(source_targets(sizes, weights, share, max_repeats), schedules)
+    targets = saved(_segments(source_targets(sizes, weights, share, max_repeats), schedules))
     by_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = by_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("source", "bucket", "doc_id").orderBy("hash")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("source", "bucket", "doc_id").orderBy("size", "hash")
     laid = sizes.withColumn("occurrence", F.row_number().over(same)).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     laid = laid.join(by_bucket, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("before", F.col("within") + F.col("offset")).drop("s", "b", "within", "offset")
-    t = targets.select(F.col("source").alias("s"), "source_size", "target", "segments", "all_tokens")
+    t = targets.select(F.col("source").alias("s"), "source_size", "target", "segments", "demand")
+    t = F.broadcast(t) if targets.count() <= BROADCAST_SOURCES else t
     laid = laid.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     laid = laid.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -96,7 +102,11 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     need, w0, w1, dt = F.col("x") - F.col("seg.d0"), F.col("seg.w0"), F.col("seg.w1"), F.col("seg.dt")
     slope = (w1 - w0) / dt
     u = F.when(need <= 0, F.lit(0.0)).otherwise(2 * need / (w0 + F.sqrt(F.greatest(w0 * w0 + 2 * slope * need, F.lit(0.0)))))
-    position = (F.col("seg.t0") + u) * F.col("all_tokens")
+    copies = copies.withColumn("u", F.col("seg.t0") + u)
+    v, t0, dt = F.col("u"), lambda s: s.t0, lambda s: s.dt
+    done = lambda s: s.d0 + (s.w0 + (s.w1 - s.w0) / (2 * dt(s)) * (v - t0(s))) * (v - t0(s))
+    part = lambda d: d.tokens * done(F.element_at(F.filter(d.segments, lambda s: s.t0 <= v), -1))
+    position = F.when(v.isNotNull(), F.aggregate(F.transform("demand", part), F.lit(0.0), lambda a, x: a + x))
     return copies.select("doc_id", "source", "hash", "occurrence", "size", "source_size", "target", "copy", position.alias("position"))
 
 
@@ -106,18 +116,23 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Rows are dealt by range of position and sorted within each part, so that parts follow one another.
     Repeated rows are told apart by their text's hash and their place among equals, so each is joined to its own copies.
     """
-    names = {"doc_id": "_mix_id", "source": "_mix_source", "occurrence": "_mix_n", "position": "_mix_position"}
+    names = {"doc_id": "_mix_id", "source": "_mix_source", "hash": "_mix_hash", "occurrence": "_mix_n", "position": "_mix_position"}
     plan = plan_mix(docs.select("doc_id", "source", "text"), **how).where("copy > 0").select(*[F.col(k).alias(v) for k, v in names.items()])
-    same = Window.partitionBy("doc_id", "source").orderBy(F.xxhash64("text"))
-    rows = docs.select("*", F.row_number().over(same).alias("_mix_of"))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_of") == F.col("_mix_n")))
+    plan = saved(plan)
+    here = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.xxhash64("text") == F.col("_mix_hash"))
+    repeated = plan.groupBy("_mix_id", "_mix_source", "_mix_hash").agg(F.countDistinct("_mix_n").alias("n")).where("n > 1")
+    rows = docs
+    if not repeated.isEmpty():  # rows alike in all of these: number them as the plan does
+        same = Window.partitionBy("doc_id", "source").orderBy(F.size(words_of(text_of())).cast("long"), F.xxhash64("text"))
+        rows, here = docs.select("*", F.row_number().over(same).alias("_mix_of")), here & (F.col("_mix_of") == F.col("_mix_n"))
+    rows = rows.join(plan, here)
     return rows.repartitionByRange("_mix_position", "doc_id").sortWithinPartitions("_mix_position", "doc_id").select(*docs.columns)
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))
     taken = F.sum(F.when(F.col("copy") > 0, F.col("size")).otherwise(0)).cast("long")
-    return plan.groupBy("doc_id", "size", "source_size", "target").agg(taken.alias("taken"), F.round(F.min("position"), 2).alias("first_position")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
+    return plan.groupBy("doc_id", "source", "hash", "occurrence", "size", "source_size", "target").agg(taken.alias("taken"), F.round(F.min("position"), 2).alias("first_position")).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 OP4_SQL = r"""
@@ -137,7 +152,7 @@ with sized as (
   select source, place, source_size, least(cap, weight * max(level) over ())::double as target from levels
 ), laid as (
   select s.*, t.place, t.source_size, t.target,
-    coalesce(sum(size) over (partition by s.source order by key, doc_id rows between unbounded preceding and 1 preceding), 0) as before,
+    coalesce(sum(size) over (partition by s.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before,
     case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as whole
   from sized s join targets t on s.source is not distinct from t.source
 ), copied as (
@@ -150,9 +165,14 @@ with sized as (
     case when x < (ends[1] + 1.0) / 4.0 then 0.0 else (ends[1] + 1.0) / 4.0 end::double as d0,
     case when x < (ends[1] + 1.0) / 4.0 then ends[1] else 1.0 end::double as w0,
     case when x < (ends[1] + 1.0) / 4.0 then 1.0 else ends[2] end::double as w1 from placed
+), timed as (
+  select *, k * 0.5::double + case when x is null then null when x - d0 <= 0 then 0.0::double else 2 * (x - d0) / (w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / 0.5::double) * (x - d0), 0.0))) end as u from segments
 )
 select doc_id, size, source_size, target, (copies * size)::bigint as taken,
-  round((k * 0.5::double + case when x - d0 <= 0 then 0.0::double else 2 * (x - d0) / (w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / 0.5::double) * (x - d0), 0.0))) end)
-    * (select sum(target) from targets), 2) as first_position
-from segments
+  round((select sum(tokens * (d0 + (w0 + (w1 - w0) / (2 * 0.5::double) * (u - t0)) * (u - t0)) order by j) from (
+    select j, tokens, case when u < 0.5 then 0.0 else 0.5 end::double as t0, case when u < 0.5 then 0.0 else (e[1] + 1.0) / 4.0 end::double as d0,
+      case when u < 0.5 then e[1] else 1.0 end::double as w0, case when u < 0.5 then 1.0 else e[2] end::double as w1
+    from (select k.j, coalesce((select sum(target) from targets where place % 3 = k.j), 0.0)::double as tokens, [[1.5, 0.5], [1.0, 1.0], [0.5, 1.5]][(k.j + 1)::int] as e from (values (0), (1), (2)) k(j))
+  )), 2) as first_position
+from timed
 """

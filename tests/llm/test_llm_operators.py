@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -243,6 +244,32 @@ def test_mix_targets_and_copies(docs):
     del most
 
 
+def test_mix_keeps_repeated_rows_apart(spark, tmp_path):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x y"), (None, "x y"), (2, "k"), (2, "k l")] + [(k, "w " * (k % 7)) for k in range(10, 60)]
+    docs = frame(spark, [(k, t, "en", "abc"[(k or 0) % 3], 1) for k, t in rows])
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    mine = mixing.op4_curriculum_mix(spark, str(tmp_path)).toPandas()
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = duck.sql(mixing.OP4_SQL).df()
+    sort = lambda x: sorted(tuple(map(str, r)) for r in x.assign(doc_id=x.doc_id.fillna(-1).astype(int))[sorted(x.columns)].itertuples(index=False))
+    assert sort(mine) == sort(theirs) and len(mine) == len(rows) and (mine.taken <= 2 * mine["size"]).all()
+    copies = Counter()
+    for r in mixing.plan_mix(docs).where("copy > 0").collect():
+        copies[r.doc_id, r.size] += 1
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in mixing.mix(docs).collect()) == copies
+
+
+def test_mix_positions_are_words_before(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.randrange(1, 40), "en", "abcd"[k % 4], 1) for k in range(800)]
+    plan = sorted(((r.position, r.doc_id, r.size) for r in mixing.plan_mix(frame(spark, rows)).where("copy > 0").collect()))
+    before = 0
+    for position, _, size in plan:
+        assert abs(position - before) <= 4 * 40  # a document of each source
+        before += size
+
+
 def test_mix_follows_the_schedule(spark):
     rows = [(k, "w " * 10, "en", "abc"[k % 3], 1) for k in range(900)]
     plan = mixing.plan_mix(frame(spark, rows)).where("copy > 0").toPandas()
