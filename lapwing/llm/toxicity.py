@@ -1,8 +1,10 @@
 """Toxicity by compression distance: how much shorter windows of a text get with a dictionary of toxic text.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. The second compressor holds the first's
-dictionary too, so that windows without anything toxic come out equally long and noise cancels. A
-logistic curve, fitted on other labelled rows, turns a document's window differences into a score.
+Two zstandard dictionaries are trained by zstandard's own trainer, one on ordinary text and one on the toxic passages of toxic
+documents. Whole toxic documents don't do: they are ordinary prose but for a word or two, and dictionaries of theirs tell
+them apart barely (README). The second compressor holds the first's dictionary too, so that windows without
+anything toxic come out equally long and noise cancels. A logistic curve, fitted on other labelled rows, turns a
+document's window differences into a score; the threshold is a score of it.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ GRAM = 6
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
 #: Labelled rows of each label that fit the dictionaries, and as many that fit the curve, at most: a hash-chosen part of them.
 FIT_ROWS = 20_000
-#: Words that reach the driver: toxic candidates, and the ordinary vocabulary by frequency.
+#: Words of the labelled sample that reach the driver: toxic candidates, and the ordinary vocabulary by frequency.
 CANDIDATES, VOCABULARY = 5_000, 100_000
+#: Ordinary words that the ordinary dictionary is trained on, and samples of one word at most.
+TRAINED_WORDS, SAMPLES_OF_WORD = 20_000, 20
 THRESHOLD = 0.7
 #: Stands before every window and in both dictionaries, so that zstd never falls back to storing a window raw.
 PRIMER = b"<|w1nd0w:0f:t3xt|>"
@@ -45,16 +49,14 @@ def _grams(piece: bytes) -> list[bytes]:
 def train_dictionaries(toxic_words: dict[str, int], ordinary_words: dict[str, int], toxic_docs: list[list[str]], cover: int = 2, least: int = 3) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents, from word counts by document and the candidate words of toxic documents.
 
-    The ordinary one is zstd's own trained dictionary. Toxic pieces are the stretches of candidate words that hold
+    Both are trained by zstandard. Toxic pieces are the stretches of candidate words that hold
     no gram of the ordinary vocabulary. Of their grams, a greedy cover takes those that explain most
     documents, until each is explained `cover` times or fewer than `least` are left: words that merely go along in
-    copies of one document explain nothing further. Pieces holding a chosen gram make the toxic dictionary, common ones last.
+    copies of one document explain nothing further. A document's pieces that hold a chosen gram are its passages, and
+    the passages of all toxic documents are what the toxic dictionary is trained on.
     """
-    samples = [b" " + w.encode() for w, n in sorted(ordinary_words.items(), key=lambda x: (-x[1], x[0]))[:20_000] for _ in range(min(n, 20))]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples, d=6, k=64).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        ordinary = b"".join(dict.fromkeys(samples))[-ORDINARY_BYTES:]
+    samples = [b" " + w.encode() for w, n in sorted(ordinary_words.items(), key=lambda x: (-x[1], x[0]))[:TRAINED_WORDS] for _ in range(min(n, SAMPLES_OF_WORD))]
+    ordinary = _trained(samples, ORDINARY_BYTES)
     usual = {g for w in ordinary_words for g in _grams(b" " + w.encode() + b" ")}
 
     def pieces(word: str) -> list[bytes]:
@@ -89,8 +91,18 @@ def train_dictionaries(toxic_words: dict[str, int], ordinary_words: dict[str, in
             holders[g] = holders[g] - explained  # the next gram of the same word explains these no second time
         for k in explained:
             need[k] -= 1
-    kept = [p for p in counts if any(g in chosen for g in _grams(p))]
-    return ordinary, b"".join(sorted(kept, key=lambda p: (counts[p], p)))[-TOXIC_BYTES:]
+    kept = {p for p in counts if any(g in chosen for g in _grams(p))}
+    passages = [b"".join(p for w in words for p in of_word.get(w, ()) if p in kept) for words in toxic_docs]
+    return ordinary, _trained([p for p in passages if p], TOXIC_BYTES)
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of samples; of too few to train on, their distinct texts, common ones last."""
+    try:
+        return zstandard.train_dictionary(size, samples, d=GRAM, k=64).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        counts = Counter(samples)
+        return b"".join(sorted(counts, key=lambda x: (counts[x], x)))[-size:]
 
 
 def _compressor(content: bytes):

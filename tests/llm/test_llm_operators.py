@@ -404,6 +404,32 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95
 
 
+def test_toxicity_features_against_plain_python(spark, docs):
+    ordinary, toxic = b"common words of every day and more of them " * 8, b" zvzvzvz  qxqxqxq "
+    plain, other = toxicity._compressor(ordinary), toxicity._compressor(toxic + ordinary)
+    extra = [(900, "zvzvzvz " * 9 + "x" * 300, "en", "a", 1), (901, "Common WORDS of every day zvzvzvz", "en", "a", 1)]
+    expected = Counter()
+    for r in awkward() + extra:
+        text = " " + " ".join(re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))) + " "
+        raw, gains, at = text.encode(), [], 0
+        while at == 0 or at < len(raw) - 12:
+            window = toxicity.PRIMER + raw[at : at + 56]
+            gains.append(len(plain(window)) - len(other(window)))
+            at += 44
+        expected[r[0], len(gains), max(0, *gains, 0), sum(g >= 3 for g in gains)] += 1
+    both = docs.unionByName(frame(spark, extra)).withColumn("windows", F.lit(1))
+    assert Counter(map(tuple, toxicity.window_features(both, ordinary, toxic).collect())) == expected
+
+
+def test_both_dictionaries_are_trained():
+    rng = random.Random(1)
+    ordinary = {"".join(rng.choice("abcdefgh") for _ in range(6)): 9 for _ in range(2000)}
+    toxic = {"zvzvzvz": 300, "qxqxqxq": 200}
+    held = [[rng.choice(list(toxic))] for _ in range(400)]
+    both = toxicity.train_dictionaries(toxic, ordinary, held)
+    assert b"zvzvzvz" in both[1] and b"qxqxqxq" in both[1] and b"zvzv" not in both[0] and len(both[0]) <= toxicity.ORDINARY_BYTES
+
+
 def test_toxicity_with_one_class(spark, docs):
     one = frame(spark, [(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, one).collect()} == {0}
