@@ -287,20 +287,41 @@ def test_mix_rows_in_order(docs):
 # repeated strings
 
 
-@pytest.mark.parametrize("length", [16, 41])
-def test_suffix_dedup(spark, docs, length):
-    rows = [(r[0], (r[1] or "").encode()) for r in awkward()]
+def brute_strings(rows, length: int) -> Counter:
     at = Counter(t[i : i + length] for _, t in rows for i in range(len(t) - length + 1))
-    expected = Counter()
+    out = Counter()
     for doc_id, t in rows:
         covered = bytearray(len(t))
         for i in range(len(t) - length + 1):
             if at[t[i : i + length]] > 1:
                 covered[i : i + length] = b"\1" * length
         kept = bytes(c for c, v in zip(t, covered) if not v)
-        expected[doc_id, kept, len(t), sum(covered), len([x for x in bytes(covered).split(b"\0") if x])] += 1
+        out[doc_id, kept, len(t), sum(covered), len([x for x in bytes(covered).split(b"\0") if x])] += 1
+    return out
+
+
+@pytest.mark.parametrize("length", [16, 41])
+def test_suffix_dedup(docs, length):
     got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_strings(docs, length).collect())
-    assert got == expected
+    assert got == brute_strings([(r[0], (r[1] or "").encode()) for r in awkward()], length)
+
+
+@pytest.mark.parametrize("slab", [1_000_000, 1_500])
+def test_suffix_dedup_at_400_bytes(spark, monkeypatch, slab):
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdeé fgh\n") for _ in range(n))
+    shared = [prose(n) for n in (399, 401, 450, 1200)]
+    texts = [prose(rng.randrange(0, 900)) + rng.choice(shared) + prose(rng.randrange(0, 900)) for _ in range(14)]
+    texts += ["ab" * 900, prose(500) + "ab" * 450, shared[3][:700] + prose(40) + shared[3][300:], texts[0], texts[0], None, "", "x" * 399, "x" * 400]
+    texts += [prose(200) + shared[3][100:520] + "|" + shared[3][100:520]]
+    docs = frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]).repartition(4)
+    monkeypatch.setattr(suffix_dedup, "SLAB", slab)
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    try:
+        got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup_strings(docs.withColumn("name", F.lit(1)).withColumn("rank", F.lit(1))).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert got == brute_strings([(k, (t or "").encode()) for k, t in enumerate(texts)], 400)
 
 
 def test_suffix_dedup_in_slabs(monkeypatch):
@@ -427,7 +448,7 @@ def test_both_dictionaries_are_trained():
     toxic = {"zvzvzvz": 300, "qxqxqxq": 200}
     held = [[rng.choice(list(toxic))] for _ in range(400)]
     both = toxicity.train_dictionaries(toxic, ordinary, held)
-    assert b"zvzvzvz" in both[1] and b"qxqxqxq" in both[1] and b"zvzv" not in both[0] and len(both[0]) <= toxicity.ORDINARY_BYTES
+    assert b"zvzvzv" in both[1] and b"qxqxqx" in both[1] and b"zvzv" not in both[0] and len(both[0]) <= toxicity.ORDINARY_BYTES
 
 
 def test_toxicity_with_one_class(spark, docs):
