@@ -142,8 +142,9 @@ def test_lines_with_common_keys_and_templates(spark, monkeypatch):
     base = [f"u{j}" for j in range(40)]
     rows += [(1000 + k, " ".join(w if rng.random() > 0.06 else f"e{rng.randrange(9)}" for w in base)) for k in range(60)]
     docs = frame(spark, [(k, t, "en", "a", 1) for k, t in rows]).repartition(3)
-    for hubs, rare in ((32, 12), (1, 3), (3, 0)):
+    for hubs, tried, rare in ((32, 4096, 12), (1, 2, 3), (3, 9, 0)):
         monkeypatch.setattr(line_dedup, "HUBS", hubs)
+        monkeypatch.setattr(line_dedup, "TRIED", tried)
         monkeypatch.setattr(line_dedup, "RARE", rare)
         cloudpickle.register_pickle_by_value(line_dedup)  # tasks take these bounds too
         line_dedup.prefix_lengths.cache_clear()
