@@ -50,6 +50,13 @@ def code_lengths(tallies: DataFrame, most: int = 24) -> DataFrame:
     return tallies.groupBy("book").applyInPandas(design, "book string, symbol string, n long, length int")
 
 
+def dense(tallies: DataFrame, alphabet: DataFrame) -> DataFrame:
+    """tallies (book, symbol, n) with a count of 1 for every symbol of the alphabet that a book lacks: books times symbols, as a full design has."""
+    books = tallies.groupBy().agg(F.collect_set("book").alias("books")).first().books  # the driver knows the books' names
+    every = alphabet.select("symbol", F.explode(F.array(*map(F.lit, sorted(books)))).alias("book")) if books else tallies.select("symbol", "book").limit(0)
+    return every.join(tallies.select("book", "symbol", "n"), ["book", "symbol"], "left").select("book", "symbol", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
+
+
 def codewords(lengths: DataFrame) -> DataFrame:
     """(book, symbol, length, code): in order of symbol, each takes the lowest free codeword of its length."""
 

@@ -27,7 +27,7 @@ _T = "e as (select lang as book, unnest(string_split(text, '')) as symbol from d
 
 
 def _tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of texts by language: counted within each text first, so that what is shuffled is small."""
+    """Characters of texts by language: tasks count before anything is shuffled, so what is shuffled is one row a character and task."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select("lang", F.explode(F.split("text", "")).alias("symbol"))
     return coding.tally(docs.where("symbol <> ''"), F.col("lang"), F.col("symbol"))
 

@@ -25,8 +25,10 @@ def query(sql: str | None = None):
 
 
 def _place(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
+    """A fresh folder that driver and executors share; one of its own only where none is named in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="lapwing-stream-")
 
 

@@ -57,10 +57,23 @@ def lap(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n, total = state.get if state.exists else (None, 0, 0.0)
-        for value in pd.concat(list(parts)).sort_values(["ts", "event_id"]).value:
-            if last is not None:
-                n, total = n + 1, total + last + value
-            last = value
+        # neighbours' sums are twice the sum of all, less the first and the last; so only these are kept while parts pass by
+        first_at, last_at, first, end, count, every = None, None, None, None, 0, 0.0
+        for part in parts:
+            part = part[part.value.notna()]
+            if not len(part):
+                continue
+            order = part.sort_values(["ts", "event_id"])
+            low, high = order.iloc[0], order.iloc[-1]
+            if first_at is None or (low.ts, low.event_id) < first_at:
+                first_at, first = (low.ts, low.event_id), float(low.value)
+            if last_at is None or (high.ts, high.event_id) > last_at:
+                last_at, end = (high.ts, high.event_id), float(high.value)
+            count, every = count + len(part), every + float(part.value.sum())
+        if count:
+            n += count - (last is None)
+            total += 2 * every - end - first + (0.0 if last is None else last + first)
+            last = end
         state.update((last, n, total))
         yield pd.DataFrame({"user_id": [key[0]], "lapped": [n], "total": [total]})
 
