@@ -90,3 +90,21 @@ def test_stages_tell_rows_of_null_and_repeated_ids_apart(spark, sf_dir):
         assert groups is None or found == Counter(wanted)
     clean = decontamination.drop_leaks(docs, frame(spark, [(1, a)], "item_id long, text string"))
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(x for x in rows if x[1] != a)
+
+
+def test_variants_without_their_original_meet_only_where_they_can(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = [edited(rng, base, rng.choice((1, 1, 2, 4, 6))) for _ in range(90)] + [" ".join(f"u{rng.randrange(9999)}" for _ in range(60)) for _ in range(5)]
+    docs = common.saved(frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]))
+    sets = [near_copies.shingle_set(t) for t in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    held = spark.createDataFrame([(k, [int(x) for x in s.view(np.int64)]) for k, s in enumerate(sets)], "cls long, shingles array<long>")
+    rows = {r.cls: r for r in near_copies._linkable(held, 0.8).collect()}
+    assert near and {k for pair in near for k in pair} <= set(rows) and len(rows) < 90
+    for i, j in near:
+        apart = sum(((rows[i][f"parity{w}"] ^ rows[j][f"parity{w}"]) & (2**64 - 1)).bit_count() for w in range(near_copies.WORDS))
+        assert apart <= len(np.setxor1d(sets[i], sets[j])) and rows[i].n == len(sets[i]) >= rows[i].shared
+    monkeypatch.setattr(near_copies, "PAIR_BUCKET", 2)
+    found = {r.doc_id: r.component_id for r in near_copies.similar_groups(docs).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_groups(texts)
