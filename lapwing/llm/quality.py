@@ -17,6 +17,8 @@ from lapwing.llm.common import WORD, saved, table, text_of, with_ids
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: Significant digits of the values of which thresholds are percentiles.
+DIGITS = 3
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the rules may test, each a number that is 0 where its base is empty.
@@ -73,6 +75,12 @@ def text_statistics(text: Column) -> Column:
     return _let(text, lambda t: _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: _let(lines(t), lambda x: of(t, w, x))))
 
 
+def _significant(x: Column) -> Column:
+    """x to DIGITS significant digits: at most 900 values a decade, so that exact percentiles, alike in every run, count few values."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - (DIGITS - 1))
+    return F.when(x > 0, F.round(x / unit) * unit).otherwise(F.lit(0.0))
+
+
 def base_failed(of: Column) -> Column:
     return (of.n_words < MIN_WORDS) | (100 * of.n_repeat_words > MAX_REPEAT_PERCENT * of.n_words)
 
@@ -107,7 +115,8 @@ def learn_rules(labelled: DataFrame, bins: int = 32, depth: int = 3, max_rules:
     fall. A rule is kept if at least min_precision of the pruning rows it marks, and min_rows of them, are poor; then
     the rows it marks are taken away and the next is grown. Without rows of both kinds there are no rules.
     """
-    thresholds = labelled.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(F.col("of")[f].cast("double"), [k / bins for k in range(1, bins)], 10_000))).alias(f) for f in FEATURES]).first()
+    ranks = F.array(*[F.lit(k / bins) for k in range(1, bins)])
+    thresholds = labelled.agg(*[F.array_sort(F.array_distinct(F.percentile(_significant(F.col("of")[f].cast("double")), ranks))).alias(f) for f in FEATURES]).first()
     cuts = {f: list(thresholds[f] or []) for f in FEATURES}
     place = lambda f: F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts[f]]), lambda x: x <= F.col("of")[f].cast("double")))
     rows = saved(labelled.select("of", "poor", "grow", F.array(*[F.struct(F.lit(k).alias("feature"), place(f).alias("bin")) for k, f in enumerate(FEATURES)]).alias("bins")))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lapwing.llm import common, decontamination, near_copies, simhash, toxicity
+from lapwing.llm import common, decontamination, near_copies, quality, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -108,3 +108,13 @@ def test_variants_without_their_original_meet_only_where_they_can(spark, monkeyp
     monkeypatch.setattr(near_copies, "PAIR_BUCKET", 2)
     found = {r.doc_id: r.component_id for r in near_copies.similar_groups(docs).collect()}
     assert [found[k] for k in range(len(texts))] == brute_groups(texts)
+
+
+def test_rules_do_not_depend_on_the_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    of = common.saved(docs.select("doc_id", quality.text_statistics(common.text_of()).alias("of")))
+    rows = common.saved(quality._labelled(of, labels))
+    found = [quality.learn_rules(rows.repartition(n)) for n in (1, 7, 31)]
+    assert found[0] == found[1] == found[2]
+    values = spark.createDataFrame([(0.0,), (0.00123456,), (1234567.0,), (7.0,)], "x double").select(quality._significant(F.col("x"))).collect()
+    np.testing.assert_allclose([r[0] for r in values], [0, 0.00123, 1230000, 7])
