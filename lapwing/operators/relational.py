@@ -43,11 +43,15 @@ def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
 def stride_sample(rows: DataFrame, order: str, most: int) -> DataFrame:
     """Every stride-th row in order of a key, the stride being the least that leaves no more than most rows.
 
-    Places are ranks in two levels: within ranges of the key, and the counts of the ranges before.
+    Places are ranks in two levels: within ranges of the key, a number, and the counts of the ranges before. The ranges' bounds are
+    read once, so that both levels see the same ranges whatever is computed again. Null keys come first.
     """
     n = rows.count()
     stride = max(1, -(-n // most))
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if n else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    ranged = rows.withColumn("_part", part)
     ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range

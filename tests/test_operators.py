@@ -133,3 +133,14 @@ def test_entry_has_a_stable_schema(spark):
     found = __spark_entry__.entry(spark)
     assert found.columns == ["stream", "block", "n", "peak_energy", "mean_energy", "peak_to_mean", "short"] and found.count() > 0
     assert math.isfinite(found.first().peak_energy)
+
+
+def test_stride_sample_takes_every_nth_row_in_order(spark):
+    keys = [-5, 0, 3, 3, 900, 10**6] + list(range(10, 400, 7))
+    rows = spark.createDataFrame([(None,)] + [(k,) for k in reversed(keys)], "k long").repartition(5)
+    ordered = [None, *sorted(keys)]
+    for most in (1, 4, 10, 1000):
+        stride = max(1, -(-len(ordered) // most))
+        taken = [r.k for r in relational.stride_sample(rows, "k", most).orderBy("k").collect()]
+        assert taken == ordered[::stride]
+    assert relational.stride_sample(rows.limit(0), "k", 4).count() == 0
