@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: the space and the five ASCII controls from tab to carriage return.
@@ -56,6 +56,22 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank: 1, 2, 3 ... in the given order, a total one or else ties in some order. Written to the shared folder.
+
+    Rows are dealt by range of the order and sorted inside each range; a row's rank is the number of rows in the ranges before
+    it plus its place in its own. No task sees more than a range, and only one count a range is summed up in one place.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = saved(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = laid.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = counts.select(F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    found = laid.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return found.withColumn("rank", place + F.col("_offset") + 1).drop("_at", "_part", "_offset")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

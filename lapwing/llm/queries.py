@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import compaction, decontamination, filter_audit, line_dedup, mixing, pseudo_likelihood, quality, simhash, suffix_dedup, tokens, toxicity
+from lapwing.llm import compaction, decontamination, filter_audit, line_dedup, mixing, pseudo_likelihood, quality, resampling, simhash, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_resampling": resampling.op12_resampling,
 }
 ORACLE = {
     "op2_compaction": compaction.OP2_SQL,
     "op4_curriculum_mix": mixing.OP4_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_resampling": resampling.OP12_SQL,
 }

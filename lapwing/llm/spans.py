@@ -85,9 +85,9 @@ def texts_of(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return (data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""), offsets - offsets[0]
 
 
-def words_of(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each word, its size, words before each text and in all): words are what ASCII white space parts; none crosses a text."""
-    inside = ~_SPACE[np.frombuffer(data, np.uint8)]
+def words_of(data: bytes, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word, its size, words before each text and in all): words are what bytes of `between` part, as a rule ASCII white space; none crosses a text."""
+    inside = ~between[np.frombuffer(data, np.uint8)]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
