@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapwing.llm import compaction, decontamination, filter_audit, line_dedup, mixing, pseudo_likelihood, quality, resampling, simhash, suffix_dedup, tokens, toxicity
+from lapwing.llm import compaction, decontamination, embedding_dedup, filter_audit, line_dedup, mixing, pseudo_likelihood, quality, resampling, simhash, suffix_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_resampling": resampling.op12_resampling,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 ORACLE = {
     "op2_compaction": compaction.OP2_SQL,
@@ -24,4 +25,5 @@ ORACLE = {
     "op10_decontamination": decontamination.OP10_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
     "op12_resampling": resampling.OP12_SQL,
+    "op13_embedding_dedup": embedding_dedup.OP13_SQL,
 }
