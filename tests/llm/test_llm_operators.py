@@ -109,6 +109,46 @@ def test_line_dedup(docs):
     assert Counter(map(tuple, line_dedup.dedup_lines(docs).collect())) == brute_lines(awkward())
 
 
+@pytest.mark.parametrize("variants", [100, 300])
+def test_lines_with_one_match_among_many_variants(spark, variants):
+    """A document each: a line, variants of it by one word, and a line whose only earlier match is the first one, though it shares keys with all."""
+    rows = []
+    for d in range(8):
+        base = [f"d{d}w{k}" for k in range(20)]
+        lines = [" ".join(base)] + [" ".join(base[:k % 18] + [f"d{d}v{k}"] + base[k % 18 + 1 :]) for k in range(variants)]
+        rows.append((d, "\n".join([*lines, " ".join(base[:18] + [f"d{d}x", f"d{d}y"])]), "en", "a", 1))
+    got = Counter(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).collect()))
+    assert got == brute_lines(rows)
+
+
+def test_lines_whose_rows_are_out_of_order(spark):
+    base = [f"w{k}" for k in range(20)]
+    rows = [(1000, " ".join(base)), (1, " ".join(base))] + [(k, " ".join(base[: k % 18] + [f"v{k}"] + base[k % 18 + 1 :])) for k in range(10, 110)]
+    rows += [(700, " ".join(base[:18] + ["x", "y"])), (2**40, " ".join(base)), (-5, " ".join(base[:17] + ["p", "q", "r"])), (None, " ".join(base[:16] + ["s"]))]
+    rows = [(*r, "en", "a", 1) for r in rows]
+    for seed in (None, 1, 2):
+        if seed:
+            random.Random(seed).shuffle(rows)
+        got = Counter(map(tuple, line_dedup.dedup_lines(frame(spark, rows).coalesce(1)).collect()))
+        assert got == brute_lines(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_of_random_variants_with_few_hubs(spark, monkeypatch, seed):
+    """Groups whose members match in part only, far more than are tried, in any order of rows."""
+    monkeypatch.setattr(line_dedup, "HUBS", 2)
+    monkeypatch.setattr(line_dedup, "TRIED", 5)
+    rng = random.Random(seed)
+    rows = []
+    for d in range(250):
+        base = [f"g{d % 3}w{k}" for k in range(24)]
+        for _ in range(rng.randrange(0, 7)):
+            base[rng.randrange(24)] = f"r{rng.randrange(40)}"
+        rows.append((rng.randrange(10**6), " ".join(base[: rng.randrange(18, 25)]), "en", "a", 1))
+    got = Counter(map(tuple, line_dedup.dedup_lines(frame(spark, rows).repartition(3)).collect()))
+    assert got == brute_lines(rows)
+
+
 def test_prefixes_hold_a_common_key():
     rng = random.Random(4)
     for _ in range(3000):
