@@ -30,13 +30,6 @@ _PLACE = "least(case when abs(x) >= 1 then 255 when exp((1 - (pos + 1) / 255.0e0
 _LADDER = f"l as (select frame, k, {_PLACE} as y from (select *, greatest(0, least(floor((1 - ln(greatest(abs(x), 1.0649863e-07)) / ln(1.0649863e-07)) * 255.0e0), 254)) as pos from b))"
 
 
-@query()
-def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five posts for each frame's envelope. Each depends on those before; a test walks them in plain Python."""
-    magnitude = F.transform("x", lambda v: F.abs(v))
-    return _frames(spark, sf_dir).select("frame", F.posexplode(layout.plan_posts(magnitude, 64, 5)).alias("k", "x"))
-
-
 @query(f"""
 with {_B}, {_LADDER}, p(x0, x1) as (values (0, 9), (9, 17), (17, 33), (33, 64)),
 s as (select l.frame, l.k, l.y, a.y as y0, z.y as y1, x0, x1 from l join p on l.k >= x0 and l.k < x1 join l a on a.frame = l.frame and a.k = x0 join l z on z.frame = l.frame and z.k = least(x1, 63))
