@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.signal import let, lit
 from lapwing.operators.decode import prediction_filter
+from lapwing.operators.scan import worked_out
 
 #: Cells of the grid in which roots are isolated, and halvings of a cell.
 CELLS, HALVINGS = 4096, 60
@@ -59,11 +60,6 @@ def lag_weights(n: int, rate: float, size: int, lags: int) -> np.ndarray:
     return out
 
 
-def worked_out(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with a column that later columns read as a value: a generator of one row keeps the optimizer from writing its expression into them."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _total(a: Column) -> Column:
     return F.aggregate(a, lit(0), lambda s, x: s + x)
 

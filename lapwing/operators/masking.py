@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.signal import ENERGY_FLOOR, LADDER_LOW, NOISE_OFFSET, RATIO_CAP, SPREAD_DOWN, SPREAD_UP, bark, bin_hz, lit, quiet_threshold
+from lapwing.operators import scan
 
 
 def band_of(bins: DataFrame, half: int, rate: float) -> DataFrame:
@@ -45,12 +46,8 @@ def peak_envelope(rows: DataFrame, key: str, order: str, radius: int, floor: flo
 
 def temporal_masking(rows: DataFrame, key: str, order: str, post: float, pre: float) -> DataFrame:
     """rows (key, order, t) with effective: t or the next t times pre, and before that what still lasts of earlier ones,
-    times post for each step. The running maximum is taken of logarithms, so that long runs neither grow nor vanish."""
-    by = Window.partitionBy(key).orderBy(order)
-    fresh = F.greatest("t", F.coalesce(F.lead("t").over(by) * lit(pre), F.col("t")))
-    rows = rows.withColumn("fresh", fresh).withColumn("step", F.row_number().over(by).cast("double"))
-    level = F.ln("fresh") - F.col("step") * F.ln(lit(post))
-    return rows.withColumn("effective", F.exp(F.max(level).over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.col("step") * F.ln(lit(post)))).drop("fresh", "step")
+    times post for each step. order numbers a key's rows 0, 1, 2 ...; no task holds a key."""
+    return scan.decaying_maximum(rows, key, order, "t", post, pre, "effective")
 
 
 def partition_weights(floors: DataFrame, masked: DataFrame, size: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.signal import lit
 from lapwing.operators import line_spectra
+from lapwing.operators.scan import worked_out
 from lapwing.plans.vector_queries import _B, _BARK, _frames
 
 QUERIES: dict = {}
@@ -45,7 +46,7 @@ scores as (select frame, n::int as n, amplitude, 10 * log10(sum(ln(v) * ln(v)) /
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     envelopes = _frames(spark, sf_dir).select("frame", F.transform("x", lambda v: F.abs(v) + lit(1e-6)).alias("envelope"))
     of = line_spectra.fitted_curves(envelopes, ["frame"], 64, RATE, SIZE, ORDERS)
-    of = line_spectra.worked_out(of, "e", line_spectra.log_error(F.col("envelope"), F.col("curve")))
+    of = worked_out(of, "e", line_spectra.log_error(F.col("envelope"), F.col("curve")))
     return of.withColumn("snr", lit(10) * F.log10(F.col("e.signal") / F.col("e.error")))
 
 
