@@ -39,9 +39,19 @@ def thresholds(bins: DataFrame, half: int, rate: float, full_scale: float = 96.0
 
 
 def peak_envelope(rows: DataFrame, key: str, order: str, radius: int, floor: float = LADDER_LOW) -> DataFrame:
-    """rows with peak: the largest |x| within radius places, between floor and 1 for spectra."""
-    around = Window.partitionBy(key).orderBy(order).rowsBetween(-radius, radius)
-    return rows.withColumn("peak", F.greatest(F.max(F.abs("x")).over(around), lit(floor)))
+    """rows with peak: the largest |x| within radius places, at least floor. order numbers a key's rows 0, 1, 2 ..."""
+    held = scan.sliding_maximum(rows, key, order, F.abs("x"), radius, "peak")
+    return held.withColumn("peak", F.greatest("peak", lit(floor)))
+
+
+def floor_envelope(bins: DataFrame, masked: DataFrame, radius: int) -> DataFrame:
+    """(frame, k, envelope) of bins (frame, k, x) and thresholds (frame, k, threshold): the largest |x| within radius bins or the threshold, within the ladder.
+
+    A bin without a threshold counts by its peak; a frame with a bin that isn't finite has no envelope.
+    """
+    finite = bins.groupBy("frame").agg(F.bool_and(F.coalesce(F.abs("x") < lit(float("inf")), F.lit(False))).alias("_finite")).where("_finite").select("frame")
+    held = scan.sliding_maximum(bins.join(finite, "frame"), "frame", "k", F.abs("x"), radius, "peak").join(masked, ["frame", "k"], "left")
+    return held.select("frame", "k", F.least(F.greatest("peak", F.coalesce("threshold", lit(0)), lit(LADDER_LOW)), lit(1)).alias("envelope"))
 
 
 def temporal_masking(rows: DataFrame, key: str, order: str, post: float, pre: float) -> DataFrame:

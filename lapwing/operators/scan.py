@@ -74,6 +74,25 @@ def decaying_maximum(rows: DataFrame, key: str, order: str, value: str, post: fl
     return of.withColumn(name, F.exp(lasting + place * fade)).drop("_chunk", "_fresh", "_next", "_carry")
 
 
+def sliding_maximum(rows: DataFrame, key: str, order: str, value: Column, radius: int, name: str) -> DataFrame:
+    """rows with name: the largest value within radius places on both sides. order numbers a key's rows 0, 1, 2 ...
+
+    Places are cut into stretches as long as the reach, 2 radius + 1. A reach then lies in two stretches at most: it is the end of one and the beginning of
+    the next. So each row gives its stretch's maximum up to it to the place whose reach ends there, and from it on to the one whose reach begins
+    there: two values a row, whatever the radius. A key's last row ends all reaches that go beyond it.
+    """
+    reach = 2 * radius + 1
+    last = rows.groupBy(key).agg(F.max(order).alias("_last"))
+    placed = rows.select(key, F.col(order).alias("_k"), value.alias("_v")).withColumn("_chunk", F.floor(F.col("_k") / reach))
+    inside = Window.partitionBy(key, "_chunk").orderBy("_k")
+    both = placed.join(last, key).select(key, "_k", "_last", "_chunk", F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.max("_v").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_down"))
+    k, ends = F.col("_k"), (F.col("_chunk") + 1) * reach - 1 - radius
+    above = F.array(F.struct((k + radius).alias("t"), F.col("_down").alias("v")))
+    below = F.transform(F.when(k == F.col("_last"), F.sequence(k - radius, F.greatest(ends, k - radius))).otherwise(F.array(k - radius)), lambda t: F.struct(t.alias("t"), F.col("_up").alias("v")))
+    given = both.select(key, F.explode(F.concat(below, above)).alias("g")).groupBy(key, F.col("g.t").alias(order)).agg(F.max("g.v").alias(name))
+    return rows.join(given, [key, order])
+
+
 def running_steps(rows: DataFrame, key: str, order: str, value: str, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """rows with name: the running sum of step(value before, value), a long; a key's first row adds nothing. order numbers its rows 0, 1, 2 ..."""
     placed = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
