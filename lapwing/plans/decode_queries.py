@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions.signal import let, lit, packed_float
-from lapwing.operators import coding, decode, layout, quantise, relational
+from lapwing.operators import coding, decode, layout, prediction, quantise, relational
 from lapwing.plans.coding_queries import _T, _tallies
 from lapwing.plans.layout_queries import _LADDER
 from lapwing.plans.vector_queries import _B, _CLASS_SQL, _V, BOOK, CLASSES, FINE, _book_sql, _distance_sql, _frames, _quads, lsp_autocorr
@@ -165,12 +165,17 @@ with {_BOOKS}, t as (select l_orderkey, l_linenumber, l_quantity::int as y, a.y
 o as (select l_orderkey, list([f0, f1] order by l_linenumber, y) as f from t group by l_orderkey)
 select l_orderkey, coalesce(list_min([c for c in {CHOICES} if list_bool_and([f[j + 1][(c // pow(2, j)::int) % 2 + 1] for j in range(len(f))])]), -1)::int as choice from o""")
 def smallest_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest choice whose bits name, line by line of an order, a book that holds the line's quantity; -1 where none does."""
+    """The smallest choice whose bits name, line by line of an order, a book that holds the line's quantity; -1 where none does.
+
+    Each line is a number whose bits are the choices that suit it, looked up by its place and its books; an order's lines are combined bit by bit.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("y"))
-    held = _leaves(spark, sf_dir).where("slot in (1, 2)").groupBy("y").agg(F.max(F.col("slot") == 1).alias("f0"), F.max(F.col("slot") == 2).alias("f1"))  # one row for each size
-    flags = lines.join(held, "y", "left").select("l_orderkey", "l_linenumber", "y", F.array(F.coalesce("f0", F.lit(False)), F.coalesce("f1", F.lit(False))).alias("f"))
-    rows = flags.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "y", "f"))), lambda s: s.f).alias("f"))
-    return rows.select("l_orderkey", F.coalesce(decode.smallest_choice(F.col("f"), CHOICES, 1), F.lit(-1)).alias("choice"))
+    held = _leaves(spark, sf_dir).where("slot in (1, 2)").groupBy("y").agg(F.bit_or(F.col("slot")).cast("int").alias("slots"))  # one row for each size
+    suited = lines.join(held, "y", "left").select("l_orderkey", F.struct("l_linenumber", "y", F.coalesce("slots", F.lit(0)).alias("slots")).alias("s"))
+    rows = suited.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("lines"))  # the lines of one order
+    masks = F.transform("lines", lambda s, j: prediction.choice_mask(j, s.slots, CHOICES, 1))
+    both = F.aggregate(masks, F.lit(-1).cast("long"), lambda a, m: a.bitwiseAND(m))
+    return rows.select("l_orderkey", F.coalesce(prediction.first_choice(both, CHOICES), F.lit(-1)).alias("choice"))
 
 
 @query("""
