@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.streaming import events
+from lapwing.streaming import events, ordered
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -66,3 +66,13 @@ def stream_lap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.schema(stream.schema).parquet(f"{place}/out")
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("lapped", "total"), "lapped").alias("r"))
     return last.select("user_id", "r.lapped", (F.round("r.total", 4) + F.lit(0.0)).alias("total"))
+
+
+@query("""
+with e as (select *, epoch_ms(ts) as ms from events where value is not null and ts is not null), g as (select *, lag(value) over w as v, ms - lag(ms) over w as apart from e window w as (partition by user_id order by epoch_ms(ts), event_id))
+select user_id, count_if(apart is null or apart >= 14400000)::bigint as primes, count_if(apart < 14400000)::bigint as laps, round(coalesce(sum(value + v) filter (apart < 14400000), 0), 4) as total from g group by user_id""")
+def stream_ordered_lap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value added to the one before it in order, state ending after four hours of silence."""
+    rows = ordered.run_ordered(spark, events.event_stream(spark, sf_dir), 4 * 3600, _place(spark))
+    of = rows.groupBy("user_id").agg(F.count_if(F.col("kind") == "prime").alias("primes"), F.count_if(F.col("kind") == "lap").alias("laps"), F.coalesce(F.sum(F.when(F.col("kind") == "lap", F.col("value"))), F.lit(0.0)).alias("total"))
+    return of.select("user_id", "primes", "laps", F.round("total", 4).alias("total"))
