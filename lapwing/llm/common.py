@@ -94,18 +94,28 @@ def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(ids, key, "left_semi")
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, in any case of letters: the given one with underscores behind it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """docs without the rows whose text's xxhash64 is among texts (a column th, read twice), whatever their doc_id."""
-    return without_ids(docs.withColumn("_th", F.xxhash64("text")), texts.select(F.col("th").alias("_th")), "_th").select(*docs.columns)
+    th = spare("_th", docs)
+    return without_ids(docs.withColumn(th, F.xxhash64("text")), texts.select(F.col("th").alias(th)), th).select(*docs.columns)
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text's xxhash64 are among rows (doc_id, th; read twice); null ids are equal."""
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_of"))
+    doc_id, of, th = spare("_id", docs), spare("_of", docs), spare("_th", docs)
+    rows = rows.select(F.col("doc_id").alias(doc_id), F.col("th").alias(of))
     if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         rows = F.broadcast(rows)
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    return hashed.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_anti").select(*docs.columns)
+    hashed = docs.withColumn(th, F.xxhash64("text"))
+    return hashed.join(rows, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(th) == F.col(of)), "left_anti").select(*docs.columns)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lapwing.llm.common import drop_path, shared_dir, table
+from lapwing.llm.common import drop_path, shared_dir, spare, table
 
 TARGET_BYTES, FAN_IN = 128 << 20, 4
 #: Runs whose sizes are within this factor of their group's mean, up or down, are similar.
@@ -186,7 +186,8 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through a store, in ARRIVALS arrivals by a hash of doc_id, compacted as they come, and read back."""
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, shared_dir(spark), target_bytes=16 << 20)
-    store.append_arrivals(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "_arrival")
+    arrival = spare("_arrival", docs)
+    store.append_arrivals(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), arrival)
     store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import saved, table, text_of, words_of
+from lapwing.llm.common import saved, spare, table, text_of, words_of
 
 #: Base weights, by the source's place in code-point order (null last), repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -116,17 +116,18 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Rows are dealt by range of position and sorted within each part, so that parts follow one another.
     Repeated rows are told apart by their text's hash and their place among equals, so each is joined to its own copies.
     """
-    names = {"doc_id": "_mix_id", "source": "_mix_source", "hash": "_mix_hash", "occurrence": "_mix_n", "position": "_mix_position"}
+    doc_id, source, hash_, n, position, of = (spare(c, docs) for c in ("_mix_id", "_mix_source", "_mix_hash", "_mix_n", "_mix_position", "_mix_of"))
+    names = {"doc_id": doc_id, "source": source, "hash": hash_, "occurrence": n, "position": position}
     plan = plan_mix(docs.select("doc_id", "source", "text"), **how).where("copy > 0").select(*[F.col(k).alias(v) for k, v in names.items()])
     plan = saved(plan)
-    here = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.xxhash64("text") == F.col("_mix_hash"))
-    repeated = plan.groupBy("_mix_id", "_mix_source", "_mix_hash").agg(F.countDistinct("_mix_n").alias("n")).where("n > 1")
+    here = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(hash_))
+    repeated = plan.groupBy(doc_id, source, hash_).agg(F.countDistinct(n).alias("n")).where("n > 1")
     rows = docs
     if not repeated.isEmpty():  # rows alike in all of these: number them as the plan does
         same = Window.partitionBy("doc_id", "source").orderBy(F.size(words_of(text_of())).cast("long"), F.xxhash64("text"))
-        rows, here = docs.select("*", F.row_number().over(same).alias("_mix_of")), here & (F.col("_mix_of") == F.col("_mix_n"))
+        rows, here = docs.select("*", F.row_number().over(same).alias(of)), here & (F.col(of) == F.col(n))
     rows = rows.join(plan, here)
-    return rows.repartitionByRange("_mix_position", "doc_id").sortWithinPartitions("_mix_position", "doc_id").select(*docs.columns)
+    return rows.repartitionByRange(position, "doc_id").sortWithinPartitions(position, "doc_id").select(*docs.columns)
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

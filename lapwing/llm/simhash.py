@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import components, saved, table, without_rows
+from lapwing.llm.common import components, saved, spare, table, without_rows
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: 64 bits in 4 blocks of 16: two differing bits leave two blocks alone, so close pairs share one of 6 block pairs.
@@ -117,7 +117,8 @@ def drop_near_duplicates(docs: DataFrame, groups: DataFrame | None = None) -> Da
     if twice.isEmpty():
         return kept
     single = without_rows(kept, twice)
-    several = kept.join(twice.select(F.col("doc_id").alias("_id"), F.col("th").alias("_of")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of")), "left_semi")
+    doc_id, of = spare("_id", docs), spare("_of", docs)
+    several = kept.join(twice.select(F.col("doc_id").alias(doc_id), F.col("th").alias(of)), F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(of)), "left_semi")
     return single.unionAll(several.dropDuplicates(["doc_id", "text"]))
 
 

@@ -175,8 +175,8 @@ def encoder(path: str) -> Encoder:
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order_by: tuple[str, ...] = ("doc_id",)) -> None:
     """Encode every text (null: empty), append end_id, and write the ids in ascending order of order_by.
 
-    Shards are ranges of the first of these columns; ties are set in order by the rest and by text, so
-    reruns write the same. tokenizer is the path of a tokenizers file on every worker.
+    Shards are ranges of these columns, and inside a shard ties of them are set in order by text, so reruns write the
+    same. tokenizer is the path of a tokenizers file on every worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

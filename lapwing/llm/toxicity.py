@@ -171,7 +171,7 @@ def learn_dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes
     sample = saved(_sample(labels, 0))
     texts = with_ids(docs.select("doc_id", "text"), sample.select("doc_id")).join(sample, "doc_id")
     lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = saved(texts.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(lower, r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''"))
+    words = saved(texts.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(lower, r"[\x20\x09-\x0D]+"))).alias("word")).where("word <> ''").distinct())  # a doc_id that is repeated counts once
     toxic, size = F.col("toxic") == 1, sample.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("t")).first()
     if not 0 < size.t < size.n:
         return b"", b""
@@ -182,7 +182,7 @@ def learn_dictionaries(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes
     found = counts.where((F.col("o") == 0) & (F.col("t") >= least)).orderBy(F.desc("t"), "word").limit(CANDIDATES)
     candidates = {r.word: r.t for r in found.collect()}
     usual = {r.word: r.o for r in counts.where("o >= 2").orderBy(F.desc("o"), "word").limit(VOCABULARY).collect()}
-    held = words.where(toxic).join(F.broadcast(found.select("word")), "word").groupBy("doc_id").agg(F.collect_list("word").alias("words"))
+    held = words.where(toxic).join(F.broadcast(found.select("word")), "word").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
     return train_dictionaries(candidates, usual, [sorted(r.words) for r in held.orderBy("doc_id").collect()])
 
 
@@ -196,7 +196,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ordinary, toxic = learn_dictionaries(docs, labels)
     features = saved(window_features(docs, ordinary, toxic))
     sample = saved(_sample(labels, 2))
-    rows = [(r.windows, r.best, r.strong, r.toxic, r.weight) for r in features.join(sample, "doc_id").select("doc_id", "windows", "best", "strong", "toxic", "weight").orderBy("doc_id", "windows", "best").collect()]
+    # one row for each labelled doc_id, the most toxic one of repeated ids, so that no more than the sample's bound comes to the driver
+    fitted = features.join(sample, "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.max(F.struct("best", "strong", "windows")).alias("f"))
+    rows = [(r.f.windows, r.f.best, r.f.strong, r.toxic, r.weight) for r in fitted.orderBy("doc_id").collect()]
     if toxic and 0 < sum(r[3] for r in rows) < len(rows):
         weights = fit_curve(rows)
         logit = F.lit(weights[-1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -318,11 +319,68 @@ def test_mix_follows_the_schedule(spark):
     assert middle["a"] < middle["b"] < middle["c"]  # fading, steady, rising
 
 
-def test_mix_rows_in_order(docs):
+def brute_positions(rows):
+    """(doc_id, text) in training order, by walking each source along its own integrated schedule with plain numbers."""
+    size = lambda r: len(re.findall(WORD, r[1] or ""))
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    of = {s: sorted((r for r in rows if r[3] == s), key=lambda r: ("" if r[0] is None else hashlib.md5(str(r[0]).encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r))) for s in sources}
+    total = {s: sum(map(size, of[s])) for s in sources}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sources)}
+    target, left, share = {}, list(sources), 1.5 * sum(total.values())
+    while left:  # fill those that reach their cap, share the rest anew
+        full = [s for s in left if 2 * total[s] <= weight[s] * share / sum(weight[t] for t in left)]
+        if not full:
+            target |= {s: weight[s] * share / sum(weight[t] for t in left) for s in left}
+            break
+        for s in full:
+            target[s], share = 2.0 * total[s], share - 2 * total[s]
+            left.remove(s)
+    knots = {s: mixing.SCHEDULES[k % 3] for k, s in enumerate(sources)}
+
+    def demand(s, t):
+        ends = knots[s]
+        at = lambda u: ends[0] + (ends[1] - ends[0]) * 2 * u if u <= 0.5 else ends[1] + (ends[2] - ends[1]) * 2 * (u - 0.5)
+        area = lambda u: (ends[0] + at(u)) / 2 * u if u <= 0.5 else (ends[0] + ends[1]) / 4 + (ends[1] + at(u)) / 2 * (u - 0.5)
+        return area(t) / area(1.0)
+
+    out = []
+    for s in sources:
+        if not total[s]:
+            continue
+        whole, before = int(target[s] // total[s]), 0
+        for r in of[s]:
+            more = 2 * before + size(r) <= 2 * (target[s] - whole * total[s])
+            for copy in range(min(2, whole + more)):
+                x, low, high = min(1.0, (copy * total[s] + before) / target[s]), 0.0, 1.0
+                for _ in range(60):
+                    middle = (low + high) / 2
+                    low, high = (middle, high) if demand(s, middle) < x else (low, middle)
+                out.append((sum(target[t] * demand(t, high) for t in sources if total[t]), r[0], r[1]))
+            before += size(r)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_rows_in_order(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, " ".join(["w"] * rng.randrange(0, 60)), "en", rng.choice(["a", "a", "b", "c", None]), k) for k in range(300)] + [(400, None, "en", "a", 1)]
+    docs = frame(spark, rows).repartition(5)
     out = mixing.mix(docs)
     assert out.columns == docs.columns
-    plan = [r.doc_id for r in mixing.plan_mix(docs).where("copy > 0").orderBy("position", "doc_id").collect()]
-    assert Counter(r.doc_id for r in out.collect()) == Counter(plan)
+    got = [r.doc_id for r in out.collect()]  # parts in order, each sorted
+    expected = brute_positions(rows)
+    assert Counter(got) == Counter(e[1] for e in expected)
+    place = defaultdict(list)
+    for p, d, _ in expected:
+        place[d].append(p)
+    for v in place.values():
+        v.sort()
+    seen = Counter()
+    walked = []
+    for d in got:
+        walked.append(place[d][seen[d]])
+        seen[d] += 1
+    assert all(b >= a - 1e-3 for a, b in zip(walked, walked[1:]))
 
 
 # repeated strings
@@ -444,6 +502,76 @@ def test_rules_find_what_marks_poor_rows(spark):
     assert {r.doc_id for r in quality.drop_poor(docs, labels).collect()} == kept
 
 
+def plain_rules(rows):
+    """learn_rules by trying every threshold on every row; rows are (statistics, poor, grow)."""
+    def rounded(x):
+        if x <= 0:
+            return 0.0
+        unit = 10.0 ** (math.floor(math.log10(x)) - 2)
+        return math.floor(x / unit + 0.5) * unit
+
+    cuts = {f: sorted({float(np.percentile([rounded(float(r[0][f])) for r in rows], 100 * k / 32)) for k in range(1, 32)}) for f in quality.FEATURES} if rows else {}
+    holds = lambda c, of: (of[c[0]] >= c[2]) if c[1] else (of[c[0]] < c[2])
+    marked = lambda rule, of: all(holds(c, of) for c in rule)
+    rules = []
+    while len(rules) < 8:
+        left = [r for r in rows if not any(marked(x, r[0]) for x in rules)]
+        grown = []
+        while len(grown) < 3:
+            now = [r for r in left if r[2] and marked(grown, r[0])]
+            p0, n0 = sum(r[1] for r in now), sum(not r[1] for r in now)
+            if not p0 or not n0:
+                break
+            best = (0.0, None)
+            for f in quality.FEATURES:
+                for cut in cuts[f]:
+                    for up in (False, True):
+                        mine = [r for r in now if holds((f, up, cut), r[0])]
+                        p = sum(r[1] for r in mine)
+                        gain = quality._gain(p0, n0, p, len(mine) - p)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (f, up, cut))
+            if best[1] is None:
+                break
+            grown.append(best[1])
+        if not grown:
+            break
+        worth = []
+        for k in range(len(grown)):
+            mine = [r for r in left if not r[2] and marked(grown[: k + 1], r[0])]
+            p = sum(r[1] for r in mine)
+            worth.append((round((2 * p - len(mine)) / max(1, len(mine)), 9), -k, p, len(mine)))
+        _, k, p, n = max(worth)
+        if p < 8 or p < 0.95 * n:
+            break
+        rules.append(grown[: 1 - k])
+    return rules, marked
+
+
+def test_drop_poor_by_plain_rules(spark):
+    rng = random.Random(11)
+    rows, marks = [], []
+    for k in range(500):
+        words = [f"word{rng.randrange(400)}" for _ in range(rng.randrange(15, 80))]
+        poor = rng.random() < 0.3
+        if poor and rng.random() < 0.9:
+            words = [w.upper() if rng.random() < 0.4 else w + "!" for w in words] if k % 2 else words + ["%%#"] * rng.randrange(4, 9)
+        rows.append((k, " ".join(words), "en", "a", 1))
+        if k % 5:
+            marks.append((k, int(not poor), 0))
+    rows += [(None, rows[3][1], "en", "a", 1), (600, None, "en", "a", 1), rows[7], (601, "", "en", "a", 1)]
+    docs, labels = frame(spark, rows).repartition(3), frame(spark, marks, "doc_id long, quality int, toxic int")
+    of = {(r.doc_id, r.text): r.of.asDict() for r in docs.select("doc_id", "text", quality.text_statistics(common.text_of()).alias("of")).collect()}
+    base = lambda s: s["n_words"] < 20 or 100 * s["n_repeat_words"] > 30 * s["n_words"]
+    poor = {d: q == 0 for d, q, _ in marks}
+    learned = [(of[r[0], r[1]], poor[r[0]], zlib.crc32(str(r[0]).encode()) % 2 == 0) for r in rows if r[0] in poor and not base(of[r[0], r[1]])]
+    rules, marked = plain_rules(learned)
+    assert rules
+    kept = Counter(r[:2] for r in rows if not base(of[r[0], r[1]]) and not any(marked(x, of[r[0], r[1]]) for x in rules))
+    assert Counter((r.doc_id, r.text) for r in quality.drop_poor(docs, labels).collect()) == kept
+    assert Counter(r.doc_id for r in quality.judge(docs, labels).where("kept").collect()) == Counter(k[0] for k in kept.elements())
+
+
 # toxicity
 
 
