@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import saved, table, text_of, with_ids
+from lapwing.llm.common import drop_path, saved, shared_dir, table, text_of, with_ids
 
 THRESHOLD = 400
 #: Positions of a text that are worked on at once.
@@ -82,9 +82,9 @@ def _runs(docs: DataFrame, threshold: int) -> DataFrame:
                 rows += got
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.record_batch([pa.array(ids, pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["text_id", "start", "len", "name", "span", "twice"])
+            yield pa.record_batch([pa.array(ids, pa.binary()), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["text_id", "start", "len", "name", "span", "twice"])
 
-    return docs.mapInArrow(run, "text_id string, start int, len int, name long, span long, twice boolean")
+    return docs.mapInArrow(run, "text_id binary, start int, len int, name long, span long, twice boolean")
 
 
 def _rank_pairs(texts: DataFrame, threshold: int) -> DataFrame:
@@ -119,9 +119,9 @@ def _rank_pairs(texts: DataFrame, threshold: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, name long, rank long, place int, open boolean")
 
 
-def repeated_stretches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(text_id, stretches): for each text of docs (text_id, text) with a repeated string, the byte ranges that
-    such strings cover, which may overlap.
+def repeated_stretches(docs: DataFrame, kept: list[str], threshold: int = THRESHOLD) -> DataFrame:
+    """(text_id, stretches): for each text of docs (text_id: binary, text) with a repeated string, the byte ranges that
+    such strings cover, which may overlap. kept gets the folders that the rows are still read from.
 
     Rows of the same text are occurrences of their own, so a text that stands twice is covered wherever it has
     threshold bytes. Equal stretches of text in equal surroundings are settled by one grouping; only one
@@ -129,17 +129,24 @@ def repeated_stretches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     """
     if threshold < 16:
         raise ValueError("names start at 8 bytes: the threshold is 16 at least")
-    runs = saved(_runs(docs, threshold))
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+
+    def held(rows: DataFrame) -> DataFrame:
+        kept.append(shared_dir(spark))
+        return saved(rows, kept[-1])
+
+    runs = saved(_runs(docs, threshold), path)
     repeated = runs.groupBy("name").agg(F.count("*").alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("name")
-    left = saved(runs.join(repeated, "name"))
+    left = held(runs.join(repeated, "name"))
+    drop_path(spark, path)
     spans = left.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "start", "len")).alias("first"), F.max("twice").alias("twice"))
-    spans = saved(spans.withColumn("rep", F.monotonically_increasing_id()))
+    spans = held(spans.withColumn("rep", F.monotonically_increasing_id()))
     whole = left.join(spans.where("n > 1").select("name", "span"), ["name", "span"])
     whole = whole.select("text_id", F.col("start").alias("a"), (F.col("start") + F.col("len") - 1 + threshold).alias("b")).distinct()
 
     unsure = spans.groupBy("name").agg(F.count("*").alias("spans"), F.max("twice").alias("t"), F.min("n").alias("least")).where("(spans > 1 or t) and least = 1").select("name")
     member = F.struct("rep", "name", F.col("first.start").alias("start"), F.col("first.len").alias("len"), (F.col("n") == 1).alias("open"))
-    reps = saved(spans.join(unsure, "name").groupBy(F.col("first.text_id").alias("text_id")).agg(F.collect_list(member).alias("runs")))
+    reps = held(spans.join(unsure, "name").groupBy(F.col("first.text_id").alias("text_id")).agg(F.collect_list(member).alias("runs")))
     once = with_ids(docs, reps.select("text_id"), "text_id").groupBy("text_id").agg(F.first("text").alias("text"))
     pairs = _rank_pairs(once.join(reps, "text_id").select("text", "runs"), threshold)
     shared = pairs.groupBy("name", "rank").agg(F.count("*").alias("n")).where("n > 1").select("name", "rank")
@@ -158,8 +165,11 @@ def dedup_strings(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     input. Null is the empty text; texts shorter than the threshold stay whole; doc_ids may be null or repeated,
     repeated rows being repeats of one another. An empty table gives no row.
     """
-    texts = docs.select("doc_id", text_of().alias("text")).withColumn("text_id", F.md5("text"))
-    found = saved(repeated_stretches(texts.select("text_id", "text"), threshold))
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("text_id", F.unhex(F.md5("text")))
+    kept: list[str] = []
+    found = saved(repeated_stretches(texts.select("text_id", "text"), kept, threshold))
+    for path in kept:
+        drop_path(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
