@@ -94,14 +94,14 @@ t as (select frame, part::int as part, j::int as j, v[part * 2 + j + 1] as y fro
 held as (select distinct p_partkey % 7 as slot, p_size * 2 + p_partkey % 2 as y from part),
 fits as (select t.frame, t.part, t.j, s.slot, case when s.slot = 7 then t.y = 0 else h.y is not null end as ok from t cross join range(8) s(slot) left join held h on h.slot = s.slot and h.y = t.y),
 ways as (select frame, part, c, bool_and(ok) as ok from fits, (select unnest({CHOICES}) as c) where slot = (c // pow(8, j)::int) % 8 group by frame, part, c)
-select frame, part, min(c) filter (ok)::int as choice from ways group by frame, part""")
+select frame, part, coalesce(min(c) filter (ok), -1)::int as choice from ways group by frame, part""")
 def post_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest choice for each partition of two posts whose digits name books that hold the posts' values; slot 7 has no book and takes 0 only."""
+    """The smallest choice for each partition of two posts whose digits name books that hold the posts' values, -1 where none does; slot 7 has no book and takes 0 only."""
     of = _given(spark, sf_dir).select("frame", prediction.planned_posts(_xs(), F.col("ys"), 256).alias("posts"))
     values = of.select("frame", F.posexplode(F.slice("posts", F.lit(3), F.size("posts") - 2)).alias("k", "post"))
     values = values.select("frame", F.floor(F.col("k") / 2).cast("int").alias("part"), (F.col("k") % 2).alias("j"), F.col("post.value").alias("y"))
     leaves = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).cast("int").alias("slot"), (F.col("p_size") * 2 + F.col("p_partkey") % 2).cast("int").alias("y"))
-    return prediction.chosen(values, ["frame", "part"], leaves, CHOICES, 3, 7)
+    return prediction.chosen(values, ["frame", "part"], leaves, CHOICES, 3, 7).select("frame", "part", F.coalesce("choice", F.lit(-1)).alias("choice"))
 
 
 @query(f"""

@@ -42,13 +42,13 @@ tiled as (select k, posts, classes from w where left_over = 0)"""
 
 @query(f"""
 with recursive {_tiling_sql(65)}, o as (select (o_custkey % 66)::int as posts, (o_orderkey % {len(CATALOGUES)})::int as catalogue, count(*) as orders from orders group by 1, 2)
-select o.posts, catalogue, orders, len(classes)::int as partitions, array_to_string(classes, ',') as classes from o left join tiled t on t.k = catalogue and t.posts = o.posts""")
+select o.posts, catalogue, orders, coalesce(len(classes), -1)::int as partitions, array_to_string(classes, ',') as classes from o left join tiled t on t.k = catalogue and t.posts = o.posts""")
 def tile_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fewest partitions for each number of posts and catalogue that orders ask for; null where none tiles. Asked for once each."""
+    """The fewest partitions for each number of posts and catalogue that orders ask for; -1 and null where none tiles. Asked for once each."""
     asked = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 66).cast("int").alias("posts"), (F.col("o_orderkey") % len(CATALOGUES)).cast("int").alias("catalogue")).agg(F.count("*").alias("orders"))
     sizes = F.get(F.array(*[F.array(*map(F.lit, c)) for c in CATALOGUES]), F.col("catalogue"))
     of = asked.withColumn("c", tiling.tiling(F.col("posts"), sizes))
-    return of.select("posts", "catalogue", "orders", F.when(F.col("c").isNotNull(), F.size("c")).alias("partitions"), F.array_join("c", ",").alias("classes"))
+    return of.select("posts", "catalogue", "orders", F.when(F.col("c").isNotNull(), F.size("c")).otherwise(-1).alias("partitions"), F.array_join("c", ",").alias("classes"))
 
 
 _BEFORE, _AFTER = "list_max([p for p in posts if p < i])", "list_min([p for p in posts if p > i])"
@@ -79,7 +79,7 @@ def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with recursive {_B}, {_LADDER}, {_posts_sql(MOST_POSTS, TOLERANCE)}, {_tiling_sql(MOST_POSTS)},
 h as (select p.frame, inner_posts, (p.frame % {len(CATALOGUES)})::int as catalogue, case when len(inner_posts) = 0 then []::int[] else classes end as classes from posts p left join tiled t on t.k = p.frame % {len(CATALOGUES)} and t.posts = len(inner_posts))
-select frame, catalogue, case when classes is not null then 6 end as range_bits, case when classes is not null then array_to_string(inner_posts, ',') end as posts, array_to_string(classes, ',') as classes,
+select frame, catalogue, case when classes is not null then 6 else -1 end as range_bits, case when classes is not null then array_to_string(inner_posts, ',') end as posts, array_to_string(classes, ',') as classes,
   case when classes is not null then array_to_string([array_to_string(inner_posts[(1 + coalesce(list_sum([cat.sizes[c + 1] for c in classes[1:j - 1]]), 0))::int:list_sum([cat.sizes[c + 1] for c in classes[1:j]])::int], ',') for j in range(1, len(classes) + 1)], ';') end as parts
 from h join cat on cat.k = catalogue""")
 def header_design(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,4 @@ def header_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.get(F.array(*[_sizes(k) for k in range(len(CATALOGUES))]), F.col("catalogue"))
     of = frames.withColumn("h", tiling.envelope_header(F.transform("x", lambda v: F.abs(v)), 64, MOST_POSTS, TOLERANCE, sizes))
     text = lambda a: F.array_join(a, ",")
-    return of.select("frame", "catalogue", "h.range_bits", text(F.col("h.posts")).alias("posts"), text(F.col("h.classes")).alias("classes"), F.array_join(F.transform("h.parts", text), ";").alias("parts"))
+    return of.select("frame", "catalogue", F.coalesce("h.range_bits", F.lit(-1)).alias("range_bits"), text(F.col("h.posts")).alias("posts"), text(F.col("h.classes")).alias("classes"), F.array_join(F.transform("h.parts", text), ";").alias("parts"))
