@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from lapwing.functions.signal import lit
 
 
+#: Books that are designed together at most.
+MOST_BOOKS = 4096
+
+
 def tally(emissions: DataFrame, book: Column, symbol: Column) -> DataFrame:
     """(book, symbol, n)."""
     return emissions.groupBy(book.alias("book"), symbol.alias("symbol")).agg(F.count("*").alias("n"))
@@ -51,8 +55,13 @@ def code_lengths(tallies: DataFrame, most: int = 24) -> DataFrame:
 
 
 def dense(tallies: DataFrame, alphabet: DataFrame) -> DataFrame:
-    """tallies (book, symbol, n) with a count of 1 for every symbol of the alphabet that a book lacks: books times symbols, as a full design has."""
-    books = tallies.groupBy().agg(F.collect_set("book").alias("books")).first().books  # the driver knows the books' names
+    """tallies (book, symbol, n) with a count of 1 for every symbol of the alphabet that a book lacks: books times symbols, as a full design has.
+
+    A design has at most MOST_BOOKS books, whose names are known to the driver; more are an error.
+    """
+    books = [r.book for r in tallies.select("book").distinct().limit(MOST_BOOKS + 1).collect()]
+    if len(books) > MOST_BOOKS:
+        raise ValueError(f"more than {MOST_BOOKS} books to design at once")
     every = alphabet.select("symbol", F.explode(F.array(*map(F.lit, sorted(books)))).alias("book")) if books else tallies.select("symbol", "book").limit(0)
     return every.join(tallies.select("book", "symbol", "n"), ["book", "symbol"], "left").select("book", "symbol", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
 

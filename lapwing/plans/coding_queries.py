@@ -55,10 +55,20 @@ def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.codewords(coding.code_lengths(_tallies(spark, sf_dir)))
 
 
-@query(f"with {_T} select book, count(*) as symbols, 1.0::double as kraft, true as complete from t group by book")
+def _least_bits_sql(counts: str) -> str:
+    """Common table least (book, bits): what an optimal prefix code takes, by merging the two smallest weights of a book again and again. counts has (book, n)."""
+    return f"""m as (select book, list_sort(list(n::bigint)) as w, 0::bigint as bits from {counts} group by book
+  union all select book, list_sort(list_append(w[3:], w[1] + w[2])), bits + w[1] + w[2] from m where len(w) > 1),
+least as (select book, case when max(bits) = 0 then min(w[1]) else max(bits) end as bits from m where len(w) = 1 group by book)"""
+
+
+@query(f"with recursive {_T}, {_least_bits_sql('t')} select book, count(*) as symbols, 1.0::double as kraft, true as complete, any_value(bits)::bigint as bits from t join least using (book) group by book")
 def kraft_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every designed code fills its tree exactly."""
-    return coding.kraft(coding.code_lengths(_tallies(spark, sf_dir))).withColumn("kraft", F.col("kraft").cast("double"))
+    """Every designed code fills its tree exactly, and takes as few bits as any prefix code can."""
+    tallies = _tallies(spark, sf_dir)
+    lengths = coding.code_lengths(tallies)
+    of = coding.kraft(lengths).withColumn("kraft", F.col("kraft").cast("double"))
+    return of.join(lengths.groupBy("book").agg(F.sum(F.col("n") * F.col("length")).alias("bits")), "book")
 
 
 @query(f"""
@@ -84,11 +94,20 @@ def lloyd_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rate(rows: DataFrame, weight: float) -> int:
     """Bits that line items take if each is coded in the class of least error and rate at a rate weight."""
     q = F.col("l_quantity")
-    costs = F.array(*[F.struct((F.pow(q - F.round(q / lit(s)) * lit(s), 2) + lit(weight * b)).alias("cost"), F.lit(b).alias("bits")) for s, b in ((32.0, 1), (8.0, 3), (2.0, 5), (1.0, 6))])
+    costs = F.array(*[F.struct((F.pow(q - F.round(q / lit(s)) * lit(s), 2) + lit(weight * b)).alias("cost"), F.lit(b).alias("bits")) for s, b in _RATES])
     return rows.select(F.array_min(costs).alias("c")).agg(F.coalesce(F.sum("c.bits"), F.lit(0))).first()[0]
 
 
-@query()
+_RATES = ((32.0, 1), (8.0, 3), (2.0, 5), (1.0, 6))
+_BITS = "list_sum([r.n * list_min([" + ", ".join(f"{{'cost': pow(r.q - round(r.q / {x}e0) * {x}e0, 2) + {{0}} * {b}, 'bits': {b}}}" for x, b in _RATES) + "]).bits for r in rows])::bigint"
+
+
+@query(f"""
+with recursive h as (select list({{'q': q, 'n': n}}) as rows, 4 * sum(n)::bigint as budget from (select l_quantity as q, count(*) as n from lineitem group by l_quantity)),
+s as (select rows, budget, 0 as step, 512.0::double as rate_weight, 0.0::double as low, 1024.0::double as high, {_BITS.replace("{0}", "512.0e0")} as bits from h
+  union all select rows, budget, step + 1, (l + u) / 2, l, u, {_BITS.replace("{0}", "((l + u) / 2)")} from (select *, case when bits <= budget then low else rate_weight end as l, case when bits <= budget then rate_weight else high end as u from s)
+  where step < 23 and u - l >= 1e-3)
+select step::int as step, rate_weight, bits, budget from s""")
 def rate_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least rate weight that keeps line items within four bits each: bisection, one aggregation a step."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.signal import let, lit, packed_float
 from lapwing.operators import coding, decode, layout, prediction, quantise, relational
-from lapwing.plans.coding_queries import _T, _tallies
+from lapwing.plans.coding_queries import _T, _least_bits_sql, _tallies
 from lapwing.plans.layout_queries import _LADDER
 from lapwing.plans.vector_queries import _B, _CLASS_SQL, _V, BOOK, CLASSES, FINE, _book_sql, _distance_sql, _frames, _quads, lsp_autocorr
 from lapwing.sources.tables import table
@@ -202,16 +202,17 @@ def float_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {_T}, a as (select distinct symbol from t), k as (select distinct book from t), used as (select book, count(*) as used from t group by book)
-select k.book, (select count(*) from a) as entries, used, false as single, false as unused, 1.0::double as kraft from k join used using (book)""")
+with recursive {_T}, a as (select distinct symbol from t), k as (select distinct book from t), used as (select book, count(*) as used from t group by book),
+d as (select k.book, a.symbol, coalesce(t.n, 1) as n from k cross join a left join t on t.book = k.book and t.symbol = a.symbol), {_least_bits_sql('d')}
+select k.book, (select count(*) from a) as entries, used, (select count(*) from a) = 1 as single, used = 0 as unused, 1.0::double as kraft, bits::bigint as bits from k join used using (book) join least using (book)""")
 def dense_redesign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books redesigned for every symbol of the common alphabet, seen in a book or not: how many entries, and that the tree is full."""
+    """Books redesigned for every symbol of the common alphabet, seen in a book or not: how many entries, that the tree is full, and that no code takes fewer bits."""
     tallies = _tallies(spark, sf_dir)
     every = tallies.select("symbol").distinct()
     books = tallies.groupBy("book").agg(F.count("*").alias("used"))  # a handful
     dense = coding.code_lengths(coding.dense(tallies, every))
-    of = dense.groupBy("book").agg(F.count("*").alias("entries"), F.sum(F.pow(lit(2), -F.col("length"))).alias("kraft"))
-    return of.join(books, "book").select("book", "entries", "used", (F.col("entries") == 1).alias("single"), (F.col("used") == 0).alias("unused"), "kraft")
+    of = dense.groupBy("book").agg(F.count("*").alias("entries"), F.sum(F.pow(lit(2), -F.col("length"))).alias("kraft"), F.sum(F.col("n") * F.col("length")).alias("bits"))
+    return of.join(books, "book").select("book", "entries", "used", (F.col("entries") == 1).alias("single"), (F.col("used") == 0).alias("unused"), "kraft", "bits")
 
 
 @query("""
