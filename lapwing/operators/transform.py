@@ -12,19 +12,24 @@ from lapwing.functions.signal import let, lit, slope
 from lapwing.operators import scan
 
 
-def dot(a: Column, of) -> Column:
-    """The sum of a's elements, each times of(place)."""
-    return F.aggregate(F.transform(a, lambda x, i: x * of(i)), lit(0), lambda s, x: s + x)
+def _cosines(n: int) -> list[list[float]]:
+    """The transform's matrix, a row for each coefficient: a constant of the plan, so no cosine is worked out for a frame."""
+    return [[math.cos(math.pi / (2 * n) * (2 * i + 1 + n // 2) * (2 * k + 1)) for i in range(n)] for k in range(n // 2)]
+
+
+def _times(matrix: list[list[float]], x: Column, scale: float) -> Column:
+    rows = F.array(*[F.array(*map(lit, row)) for row in matrix])
+    return let(x, lambda v: F.transform(rows, lambda row: lit(scale) * F.aggregate(F.zip_with(v, row, lambda a, c: a * c), lit(0), lambda s, y: s + y)))
 
 
 def mdct(x: Column, n: int, scale: float = 1.0) -> Column:
     """n samples to n / 2 coefficients."""
-    return let(x, lambda v: F.transform(F.sequence(F.lit(0), F.lit(n // 2 - 1)), lambda k: lit(scale) * dot(v, lambda i: F.cos(lit(math.pi / (2 * n)) * (2 * i + 1 + n // 2) * (2 * k + 1)))))
+    return _times(_cosines(n), x, scale)
 
 
 def imdct(x: Column, n: int, scale: float = 1.0) -> Column:
     """n / 2 coefficients to n samples, with time aliasing that overlap-add cancels."""
-    return let(x, lambda v: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: lit(scale) * dot(v, lambda k: F.cos(lit(math.pi / (2 * n)) * (2 * i + 1 + n // 2) * (2 * k + 1)))))
+    return _times([list(column) for column in zip(*_cosines(n))], x, scale)
 
 
 def windowed(x: Column, n: int) -> Column:
