@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.signal import couple, ladder_place, let, lit
+from lapwing.operators import scan
 
 
 def on_ladder(x: Column) -> Column:
@@ -129,10 +130,13 @@ def gather_place(strided: Column, read: Column, j: Column, reads: int, dims: int
     return F.when(strided, read + j * reads).otherwise(read * dims + j)
 
 
-def assembled(segments: DataFrame, key: str, order: str, ends: Column) -> DataFrame:
-    """segments with packet: the number, from 0, of the packet a segment belongs to; a packet's last segment ends it."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("packet", F.coalesce(F.sum(ends.cast("long")).over(before), F.lit(0)))
+def assembled(segments: DataFrame, key: str, ends: Column, *order: str) -> DataFrame:
+    """segments with packet: the number, from 0, of the packet a segment belongs to; a packet's last segment ends it.
+
+    Segments go by the columns of order, the first of which is a time or a number. Ends are counted in two levels, so no task holds a key.
+    """
+    placed = scan.numbered(segments.withColumn("_ends", ends), key, *order)
+    return scan.running_total(placed, key, "i", F.col("_ends"), "packet").drop("_ends", "i")
 
 
 def first_within(rows: DataFrame, keys: list[str], choice: str, error: str, target: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.functions.signal import lit, point_on_line
+from lapwing.operators import scan
 
 
 def earlier_neighbours(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -26,11 +27,8 @@ def rendered_segments(posts: DataFrame) -> DataFrame:
 
 
 def forward_fill(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """rows with filled: the last value that isn't null, or before the first one, that."""
-    by = Window.partitionBy(key).orderBy(order)
-    last = F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("filled", F.coalesce(last, first))
+    """rows with filled: the last value that isn't null, or before the first one, that. order numbers a key's rows 0, 1, 2 ...; no task holds a key."""
+    return scan.last_known(rows, key, order, value, "filled")
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -74,6 +74,29 @@ def decaying_maximum(rows: DataFrame, key: str, order: str, value: str, post: fl
     return of.withColumn(name, F.exp(lasting + place * fade)).drop("_chunk", "_fresh", "_next", "_carry")
 
 
+def running_total(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """rows with name: the sum of value over a key's rows before, a long. order numbers its rows 0, 1, 2 ...; null counts as 0."""
+    placed = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK)).withColumn("_value", F.coalesce(value.cast("long"), F.lit(0)))
+    carry = lambda w: [F.coalesce(F.sum("_sum").over(w.rowsBetween(*_BEFORE)), F.lit(0)).alias("_carry")]
+    of = _carried(placed, [key], [F.sum("_value").alias("_sum")], carry)
+    inside = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(*_BEFORE)
+    return of.withColumn(name, F.coalesce(F.sum("_value").over(inside), F.lit(0)) + F.col("_carry")).drop("_chunk", "_value", "_carry")
+
+
+def last_known(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """rows with name: the last value up to a row that isn't null, or before the first one of its key, that. order numbers a key's rows 0, 1, 2 ..."""
+    placed = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
+    known = F.when(F.col(value).isNotNull(), F.col(order))
+    summaries = [F.max_by(value, known).alias("_end"), F.min_by(value, known).alias("_begin")]
+
+    def carry(w) -> list[Column]:
+        return [F.last("_end", ignorenulls=True).over(w.rowsBetween(*_BEFORE)).alias("_carry"), F.first("_begin", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next")]
+
+    of = _carried(placed, [key], summaries, carry)
+    inside = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return of.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry", "_next")).drop("_chunk", "_carry", "_next")
+
+
 def sliding_maximum(rows: DataFrame, key: str, order: str, value: Column, radius: int, name: str) -> DataFrame:
     """rows with name: the largest value within radius places on both sides. order numbers a key's rows 0, 1, 2 ...
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.signal import let, lit, slope
@@ -47,12 +47,15 @@ def hop_frames(samples: DataFrame, n: int) -> DataFrame:
 
 
 def overlap_add(framed: DataFrame, n: int) -> DataFrame:
-    """(stream, i, x): each frame's first half plus the last half of the frame before it. The first frame only primes."""
-    before = F.lag("x").over(Window.partitionBy("stream").orderBy("f"))
-    lapped = framed.withColumn("before", before).where("before is not null")
+    """(stream, i, x): each frame's first half plus the last half of the frame before it. The first frame only primes.
+
+    Frames are numbered without gaps in a stream. Each hands its last half on to the next number, where the two meet: no stream is put in order.
+    """
     half = n // 2
-    joined = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda k: F.get("x", k) + F.get("before", k + half))
-    return lapped.select("stream", "f", F.posexplode(joined).alias("k", "x")).select("stream", ((F.col("f") - 1) * half + F.col("k")).alias("i"), "x")
+    first, last = F.slice("x", 1, half), F.slice("x", half + 1, half)
+    handed = framed.select("stream", F.explode(F.array(F.struct("f", first.alias("a"), F.lit(None).cast("array<double>").alias("b")), F.struct((F.col("f") + 1).alias("f"), F.lit(None).cast("array<double>").alias("a"), last.alias("b")))).alias("h")).select("stream", "h.*")
+    met = handed.groupBy("stream", "f").agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b")).where("a is not null and b is not null")
+    return met.select("stream", "f", F.posexplode(F.zip_with("a", "b", lambda a, b: a + b)).alias("k", "x")).select("stream", ((F.col("f") - 1) * half + F.col("k")).alias("i"), "x")
 
 
 def lap_granules(blocks: DataFrame) -> DataFrame:

@@ -103,8 +103,8 @@ p as (select *, coalesce(sum(ends::int) over (partition by user_id order by ts,
 select user_id, packet, count(*) as segments, bool_or(ends) as complete, round(sum(value), 4) as total from p group by user_id, packet""")
 def packet_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as segments of packets that purchases end."""
-    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("o"), "value", (F.col("event_type") == "purchase").alias("ends"))
-    of = layout.assembled(e, "user_id", "o", F.col("ends"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", (F.col("event_type") == "purchase").alias("ends"))
+    of = layout.assembled(e, "user_id", F.col("ends"), "ts", "event_id")
     return of.groupBy("user_id", "packet").agg(F.count("*").alias("segments"), F.bool_or("ends").alias("complete"), F.round(F.sum("value"), 4).alias("total"))
 
 

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lapwing.operators import masking, scan, transform
+from lapwing.operators import layout, masking, scan, transform
 from lapwing.sources.tables import samples
 
 
@@ -88,6 +88,36 @@ def test_temporal_masking_and_granules(rows, streams, monkeypatch, chunk):
             assert got[s, b] == at
 
 
+@pytest.mark.parametrize("chunk", [4096, 32, 1])
+def test_fills_and_totals(rows, streams, monkeypatch, chunk):
+    monkeypatch.setattr(scan, "CHUNK", chunk)
+    sparse = rows.withColumn("v", F.when((F.col("x") * 1000).cast("long") % 7 == 3, F.col("x")))
+    of = scan.running_total(scan.last_known(sparse, "stream", "i", "v", "filled"), "stream", "i", F.col("v").isNotNull(), "seen")
+    got = {(r.stream, r.i): (r.v, r.filled, r.seen) for r in of.collect()}
+    for s, x in streams.items():
+        known = [got[s, i][0] for i in range(len(x))]
+        last, seen = next((v for v in known if v is not None), None), 0
+        for i, v in enumerate(known):
+            last = v if v is not None else last
+            assert got[s, i][1:] == (last, seen)
+            seen += v is not None
+
+
+def test_packets_and_overlaps(spark):
+    rng = random.Random(9)
+    events = [(k, rng.choice((1, 1, 2)), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(50)), rng.random() < 0.1) for k in range(800)]
+    got = {r.id: r.packet for r in layout.assembled(spark.createDataFrame(events, "id long, user long, ts timestamp, e boolean").repartition(6), "user", F.col("e"), "ts", "id").collect()}
+    for user in (1, 2):
+        n = 0
+        for k, _, _, ends in sorted((e for e in events if e[1] == user), key=lambda e: (e[2], e[0])):
+            assert got[k] == n
+            n += ends
+    framed = [(s, f, [float(rng.randrange(9)) for _ in range(8)]) for s, n in ((1, 50), (2, 1), (3, 2)) for f in range(n)]
+    x = {(s, f): v for s, f, v in framed}
+    lapped = {(r.stream, r.i): r.x for r in transform.overlap_add(spark.createDataFrame(framed, "stream long, f long, x array<double>").repartition(4), 8).collect()}
+    assert lapped == {(s, (f - 1) * 4 + k): x[s, f][k] + x[s, f - 1][k + 4] for s, f in x if f for k in range(4)}
+
+
 def test_numbers_of_a_skewed_user_with_equal_times(spark):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
