@@ -32,10 +32,10 @@ def forward_fill(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median): the value at place floor(n / 2) from 0, by rank within the group."""
-    by = Window.partitionBy(key)
-    ranked = rows.select(key, value, F.row_number().over(by.orderBy(value)).alias("at"), F.count("*").over(by).alias("n"))
-    return ranked.where(F.col("at") == F.floor(F.col("n") / 2) + 1).select(key, F.col(value).alias("median"))
+    """(key, median): the value at place floor(n / 2) from 0. Places are counted in two levels, so a key of very many rows is spread over tasks."""
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    placed = scan.numbered(rows.select(key, value), key, value).join(counts, F.col(key).eqNullSafe(F.col("_key")))
+    return placed.where(F.col("i") == F.floor(F.col("_n") / 2)).select(key, F.col(value).alias("median"))
 
 
 def stride_sample(rows: DataFrame, order: str, most: int) -> DataFrame:

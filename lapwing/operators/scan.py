@@ -23,10 +23,18 @@ def worked_out(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _met(rows: DataFrame, per: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with per by keys, null keys being equal to one another."""
+    names = {k: f"_{k}_of" for k in keys}
+    of = per.select(*[F.col(c).alias(names.get(c, c)) for c in per.columns])
+    here = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(of, here, how).drop(*names.values())
+
+
 def _carried(rows: DataFrame, keys: list[str], summaries: list[Column], carry: Callable[..., list[Column]]) -> DataFrame:
     """rows (with their stretch in _chunk) joined with what carry makes of the stretches' summaries, one row a stretch, in order."""
     per = rows.groupBy(*keys, "_chunk").agg(*summaries)
-    return rows.join(per.select(*keys, "_chunk", *carry(Window.partitionBy(*keys).orderBy("_chunk"))), [*keys, "_chunk"])
+    return _met(rows, per.select(*keys, "_chunk", *carry(Window.partitionBy(*keys).orderBy("_chunk"))), [*keys, "_chunk"])
 
 
 def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -67,7 +75,7 @@ def decaying_maximum(rows: DataFrame, key: str, order: str, value: str, post: fl
     per = per.select(key, "_chunk", *carry(by))
     per = per.select(key, "_chunk", "_next", F.max("_whole.m").over(by.rowsBetween(*_BEFORE)).alias("_carry"))
     inside = Window.partitionBy(key, "_chunk").orderBy(order)
-    of = placed.join(per, [key, "_chunk"])
+    of = _met(placed, per, [key, "_chunk"])
     fresh = F.greatest(F.col(value), F.coalesce(F.lead(value).over(inside) * lit(pre), F.col("_next") * lit(pre), F.col(value)))
     of = of.withColumn("_fresh", F.ln(fresh) - place * fade)
     lasting = F.greatest(F.max("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
@@ -108,12 +116,12 @@ def sliding_maximum(rows: DataFrame, key: str, order: str, value: Column, radius
     last = rows.groupBy(key).agg(F.max(order).alias("_last"))
     placed = rows.select(key, F.col(order).alias("_k"), value.alias("_v")).withColumn("_chunk", F.floor(F.col("_k") / reach))
     inside = Window.partitionBy(key, "_chunk").orderBy("_k")
-    both = placed.join(last, key).select(key, "_k", "_last", "_chunk", F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.max("_v").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_down"))
+    both = _met(placed, last, [key]).select(key, "_k", "_last", "_chunk", F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.max("_v").over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_down"))
     k, ends = F.col("_k"), (F.col("_chunk") + 1) * reach - 1 - radius
     above = F.array(F.struct((k + radius).alias("t"), F.col("_down").alias("v")))
     below = F.transform(F.when(k == F.col("_last"), F.sequence(k - radius, F.greatest(ends, k - radius))).otherwise(F.array(k - radius)), lambda t: F.struct(t.alias("t"), F.col("_up").alias("v")))
     given = both.select(key, F.explode(F.concat(below, above)).alias("g")).groupBy(key, F.col("g.t").alias(order)).agg(F.max("g.v").alias(name))
-    return rows.join(given, [key, order])
+    return _met(rows, given, [key, order])
 
 
 def running_steps(rows: DataFrame, key: str, order: str, value: str, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -125,7 +133,7 @@ def running_steps(rows: DataFrame, key: str, order: str, value: str, step: Calla
     by = Window.partitionBy(key).orderBy("_chunk")
     per = per.withColumn("_over", F.coalesce(step(F.lag("_last").over(by), F.col("_first")).cast("long"), F.lit(0)))
     carry = F.sum("_over").over(by.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_sum").over(by.rowsBetween(*_BEFORE)), F.lit(0))
-    of = stepped.join(per.select(key, "_chunk", carry.alias("_carry")), [key, "_chunk"])
+    of = _met(stepped, per.select(key, "_chunk", carry.alias("_carry")), [key, "_chunk"])
     return of.withColumn(name, (F.coalesce(F.sum("_step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.col("_carry"))).drop("_chunk", "_step", "_carry")
 
 

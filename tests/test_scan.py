@@ -131,6 +131,18 @@ def test_numbers_of_a_skewed_user_with_equal_times(spark):
     assert samples(table.limit(0)).count() == 0
 
 
+def test_null_keys_are_a_stream(spark):
+    rows = spark.createDataFrame([(None if i % 2 else 1, i // 2, float(i)) for i in range(20)], "s long, i long, x double")
+    null = lambda frame, c: [r[c] for r in frame.where("s is null").orderBy("i").collect()]
+    assert null(scan.sliding_maximum(rows, "s", "i", F.col("x"), 1, "m"), "m") == [3.0, 5, 7, 9, 11, 13, 15, 17, 19, 19]
+    assert null(scan.running_total(rows, "s", "i", F.col("x"), "t"), "t") == [0, 1, 4, 9, 16, 25, 36, 49, 64, 81]
+    assert null(scan.last_known(rows, "s", "i", "x", "v"), "v") == [float(v) for v in range(1, 20, 2)]
+    assert null(scan.running_steps(rows, "s", "i", "x", lambda a, b: b - a, "d"), "d") == list(range(0, 20, 2))
+    assert null(scan.decaying_maximum(rows, "s", "i", "x", 0.5, 0.0, "e"), "e")[-1] == pytest.approx(19.0)
+    events = spark.createDataFrame([(k, None, datetime(2024, 1, 1) + timedelta(seconds=k), float(k)) for k in range(5)], "event_id long, user_id long, ts timestamp, value double")
+    assert [(r.stream, r.i) for r in samples(events).orderBy("i").collect()] == [(None, k) for k in range(5)]
+
+
 def test_no_window_holds_a_stream(rows, spark, sf_dir):
     """Windows by stream alone stand above an aggregation by stretch, so their rows are stretches."""
     of = masking.temporal_masking(rows.select("stream", "i", F.col("x").alias("t")), "stream", "i", 0.8, 0.25)
