@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions.signal import let, lit
-from lapwing.operators import layout, masking, prediction
+from lapwing.operators import coding, layout, masking, prediction
 from lapwing.plans.layout_queries import _LADDER
 from lapwing.plans.vector_queries import _B, _THRESHOLD, _book_sql, _frames
 from lapwing.sources import records
@@ -88,20 +88,51 @@ def predicted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.select("frame", "post.x", "post.y", "post.predicted", "post.value", "post.coded", "same")
 
 
-@query(f"""
-with {_B}, {_LADDER}, {_posts_sql()},
+_CHOSEN_SQL = f"""{_B}, {_LADDER}, {_posts_sql()},
 t as (select frame, part::int as part, j::int as j, v[part * 2 + j + 1] as y from s{len(XS) - 2}, range(4) a(part), range(2) c(j) where part * 2 + j < {len(XS) - 2}),
 held as (select distinct p_partkey % 7 as slot, p_size * 2 + p_partkey % 2 as y from part),
 fits as (select t.frame, t.part, t.j, s.slot, case when s.slot = 7 then t.y = 0 else h.y is not null end as ok from t cross join range(8) s(slot) left join held h on h.slot = s.slot and h.y = t.y),
-ways as (select frame, part, c, bool_and(ok) as ok from fits, (select unnest({CHOICES}) as c) where slot = (c // pow(8, j)::int) % 8 group by frame, part, c)
-select frame, part, coalesce(min(c) filter (ok), -1)::int as choice from ways group by frame, part""")
-def post_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest choice for each partition of two posts whose digits name books that hold the posts' values, -1 where none does; slot 7 has no book and takes 0 only."""
+ways as (select frame, part, c, bool_and(ok) as ok from fits, (select unnest({CHOICES}) as c) where slot = (c // pow(8, j)::int) % 8 group by frame, part, c),
+chosen as (select frame, part, min(c) filter (ok) as choice from ways group by frame, part)"""
+
+
+def _chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(frame, part, j, y): the posts' values in partitions of two; and (frame, part, choice)."""
     of = _given(spark, sf_dir).select("frame", prediction.planned_posts(_xs(), F.col("ys"), 256).alias("posts"))
     values = of.select("frame", F.posexplode(F.slice("posts", F.lit(3), F.size("posts") - 2)).alias("k", "post"))
     values = values.select("frame", F.floor(F.col("k") / 2).cast("int").alias("part"), (F.col("k") % 2).alias("j"), F.col("post.value").alias("y"))
     leaves = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).cast("int").alias("slot"), (F.col("p_size") * 2 + F.col("p_partkey") % 2).cast("int").alias("y"))
-    return prediction.chosen(values, ["frame", "part"], leaves, CHOICES, 3, 7).select("frame", "part", F.coalesce("choice", F.lit(-1)).alias("choice"))
+    return values, prediction.chosen(values, ["frame", "part"], leaves, CHOICES, 3, 7)
+
+
+@query(f"with {_CHOSEN_SQL} select frame, part, coalesce(choice, -1)::int as choice from chosen")
+def post_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest choice for each partition of two posts whose digits name books that hold the posts' values, -1 where none does; slot 7 has no book and takes 0 only."""
+    return _chosen(spark, sf_dir)[1].select("frame", "part", F.coalesce("choice", F.lit(-1)).alias("choice"))
+
+
+@query(f"""with {_CHOSEN_SQL}, e as (select 'choices' as book, choice::int as symbol from chosen where choice is not null
+  union all select 'slot' || (choice // pow(8, j)::int) % 8, y from t join chosen using (frame, part) where choice is not null and (choice // pow(8, j)::int) % 8 < 7)
+select book, symbol, count(*) as n from e group by book, symbol""")
+def post_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each book emits each symbol when posts are written: a choice for each partition, then a value for each post that has a book."""
+    values, choices = _chosen(spark, sf_dir)
+    choices = choices.where("choice is not null")
+    slot = F.expr("(shiftright(choice, 3 * j)) & 7")
+    written = values.join(choices, ["frame", "part"]).withColumn("slot", slot).where("slot < 7")
+    emitted = choices.select(F.lit("choices").alias("book"), F.col("choice").alias("symbol")).unionAll(written.select(F.concat(F.lit("slot"), F.col("slot").cast("string")), "y"))
+    return coding.tally(emitted, F.col("book"), F.col("symbol"))
+
+
+@query(f"""
+with recursive {_B}, {_book_sql("r", RISES)}, rises as (select list(y order by entry) as y from r), f as (select frame, list_sort(list(x)) as c from b group by frame),
+w as (select frame, c, y, 0 as v, 0.0::double as last, -1 as entry from f, rises
+  union all select frame, c, y, v + 1, last + y[e + 1][4], e from (select *, {_near_sql("last")} as e from w where v < 16))
+select v::int - 1 as place, entry::int as symbol, count(*) as n from w where v > 0 group by v, entry""")
+def loop_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each place of the closed loop emits each entry."""
+    of = _frames(spark, sf_dir).select(F.posexplode(prediction.coded_in_loop(F.array_sort("x"), RISES, 4)).alias("place", "s"))
+    return coding.tally(of, F.col("place"), F.col("s.entry")).withColumnRenamed("book", "place")
 
 
 @query(f"""
