@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6 by the stages' rule, 5-word shingles and similarity 0.8: one row of each group stays, that of the smallest doc_id."""
+    """Operator 6 by the stages' rule, SimHash over 5-word shingles verified at similarity 0.8: one row of each group stays, that of the smallest doc_id."""
     return drop_near_duplicates(docs, similar_groups(docs))
 
 

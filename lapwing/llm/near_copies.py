@@ -1,7 +1,8 @@
-"""Near copies by exact similarity: bands of MinHash values propose pairs, the Jaccard similarity of word shingles decides.
+"""Near copies by SimHash: blocks of wide fingerprints propose pairs, Hamming distance and then the Jaccard similarity of word shingles decide.
 
-The pipeline's rule is five words and similarity 0.8. A 64-bit SimHash can't carry it: at that similarity about
-10 of 64 bits differ, and as many do between texts that share half of their shingles.
+The pipeline's rule is five words and similarity 0.8. One 64-bit fingerprint can't carry it: at that similarity about
+10 of 64 bits differ, and as many do between texts that share half of their shingles. So fingerprints have BLOCKS
+blocks, any of which may be the one that a pair has in common, and CHECK bits more that verify the distance.
 """
 
 from __future__ import annotations
@@ -17,15 +18,26 @@ from pyspark.sql import functions as F
 from lapwing.llm.common import components, drop_path, saved, shared_dir, with_ids
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 5e-6 at 0.8, and 0.97 at 0.3.
-BANDS, ROWS = 40, 6
-#: Members of a band bucket up to which all its pairs are verified at once; larger ones start from a hub.
+#: Blocks of 16 bits. At similarity 0.8 a bit differs with probability p = 0.152 in long texts and 0.161 at most in short ones (12
+#: of 15 shingles), so a pair shares no block with probability (1 - (1 - p)^16)^BLOCKS: 3e-7 and 4e-6. Four of five shingles have
+#: p = 0.188; see _fifths.
+BLOCKS = 200
+#: Bits by which distances are verified, and how many may differ: five standard deviations above the mean of p; 2e-5 of unrelated pairs pass.
+CHECK, APART = 128, 40
+#: Of all bits of a pair so many may differ: six standard deviations above the mean at p = 0.161.
+WIDE_APART = (16 * BLOCKS + CHECK) // 5
+#: Near members of a block's bucket with which one is paired off; where a bucket has more, members are paired with a hub first.
 PAIR_BUCKET = 24
+#: Earlier members of a bucket that each one is tried with; a bucket that has more is left open for similar_links.
+TRIED = 4096
+#: Classes in a part of a block, on average.
+PART = 500_000
 #: Words of parity bits of a set, which rule out pairs without a look at their shingles.
 WORDS = 8
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-_FLIP, _TIMES = _MIX[0], _MIX[1] | np.uint64(1)
+_MIX = np.random.default_rng(SEED).integers(0, 2**64, (3, (16 * BLOCKS + CHECK) // 64), np.uint64)
+_FLIP, _TIMES, _AGAIN = _MIX[0], _MIX[1] | np.uint64(1), _MIX[2] | np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -40,12 +52,23 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each band: the hash of ROWS MinHash values and the band's number."""
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(shingles), 1024):  # bounded memory on very long texts
-        np.minimum(low, ((shingles[k : k + 1024, None] ^ _FLIP) * _TIMES).min(axis=0), out=low)
-    return [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, as bytes: a bit is 1 if it is set in over half of the shingles' hashes, a tie leaves it 0."""
+    ones = np.zeros((8, 8 * len(_FLIP)), np.int64)
+    for k in range(0, len(shingles), 255):  # as many as a byte can count
+        bits = (shingles[k : k + 255, None] ^ _FLIP) * _TIMES
+        bits ^= bits >> np.uint64(32)
+        bits *= _AGAIN
+        bits ^= bits >> np.uint64(29)
+        for lane in range(8):
+            ones[lane] += ((bits >> np.uint64(lane)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones > len(shingles), axis=0, bitorder="little")[0]
+
+
+def _fifths(shingles: np.ndarray) -> list[int]:
+    """Keys by which a set of four shingles meets one of five that holds it: its fingerprint's hash, or those of the five without one of theirs."""
+    some = [shingles] if len(shingles) == 4 else [np.delete(shingles, k) for k in range(5)] if len(shingles) == 5 else []
+    return [xxhash.xxh64_intdigest(fingerprint(s).tobytes(), SEED) for s in some]
 
 
 def _classes(sets: list[np.ndarray]) -> pa.Array:
@@ -53,17 +76,18 @@ def _classes(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, cls, keys) of every row; th, the text's xxhash64, tells texts apart and cls, a hash of them, shingle sets."""
+    """(doc_id, th, cls, fp, fifths) of every row; th, the text's xxhash64, tells texts apart and cls, a hash of them, shingle sets; fp is null without a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py(), shingle) for t in part.column(2)]
-                keys = [np.array(band_keys(s) if len(s) else [], np.uint64).view(np.int64) for s in sets]
-                yield pa.record_batch([part.column(0), part.column(1), _classes(sets), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "cls", "keys"])
+                fps = pa.array([fingerprint(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                fifths = pa.array([np.array(_fifths(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), part.column(1), _classes(sets), fps, fifths], ["doc_id", "th", "cls", "fp", "fifths"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, cls long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, cls long, fp binary, fifths array<long>")
 
 
 def _sets(docs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -92,20 +116,85 @@ def _verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simil
     return found
 
 
+def _blocks(sketches: DataFrame, splits: int) -> DataFrame:
+    """(part, cls, block, bits): the fingerprints' blocks, as arrays in one row for each part of a block and batch of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = batch.column(0).to_numpy()
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(cls), -1)
+            blocks, bits = fps[:, : 2 * BLOCKS].copy().view("<u2"), fps[:, 2 * BLOCKS :]
+            for at in range(BLOCKS):
+                split = blocks[:, at] % splits
+                some = [(at * splits + k, split == k) for k in np.unique(split).tolist()]
+                columns = [[x[mine].tobytes() for _, mine in some] for x in (cls, blocks[:, at], bits)]
+                yield pa.record_batch([pa.array([part for part, _ in some], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "cls", "block", "bits"])
+
+    return sketches.select("cls", "fp").where("fp is not null").mapInArrow(run, "part int, cls binary, block binary, bits binary")
+
+
+def _near_in_part(group: pa.Table, splits: int, bucket: int) -> pa.Table:
+    """(a, b, key): pairs of classes that have a block in common and few other bits apart, without a key; and all members of
+    the buckets in which some class has more to be tried with than it was, each as a, with the bucket's key.
+    """
+    of = group.column("part")[0].as_py() // splits
+    cls, block, bits = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(c)]) for c, t in (("cls", np.int64), ("block", np.uint16), ("bits", np.uint64)))
+    order = np.lexsort(((cls.view(np.uint64) ^ _FLIP[of % len(_FLIP)]) * _TIMES[of % len(_FLIP)], block))
+    cls, block, bits = cls[order], block[order], bits.reshape(len(order), -1)[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(block)), bool), block[1:] != block[:-1])))
+    first = np.repeat(starts, np.diff(starts, append=len(block)))
+    place = np.arange(len(block)) - first
+    found, tried, passed = [np.zeros((3, 0), np.int64)], np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    behind = np.flatnonzero(place > 0)
+    for k in range(min(TRIED, int(place.max(initial=0)))):  # each member with the k-th of its bucket
+        behind = behind[(place[behind] > k) & (passed[behind] < bucket)]
+        hub = first[behind] + k
+        near = np.bitwise_count(bits[hub] ^ bits[behind]).sum(axis=1) <= APART
+        found.append(np.stack((hub[near], behind[near], passed[behind[near]])))
+        tried[behind] = k + 1
+        passed[behind[near]] += 1
+    left = np.zeros(len(place), bool)
+    left[first[place > tried]] = True
+    left = left[first]
+    a, b, before = np.concatenate(found, axis=1)
+    once = ~left[a] | (before == 0)  # in an open bucket a member's first hub is enough
+    a, b, rest = cls[a[once]], cls[b[once]], np.flatnonzero(left)
+    key = (np.int64(of) << 16) | block[rest].astype(np.int64)
+    pairs = pa.table({"a": a, "b": b, "key": pa.nulls(len(a), pa.int64())})
+    return pa.concat_tables([pairs, pa.table({"a": cls[rest], "b": pa.nulls(len(rest), pa.int64()), "key": key})])
+
+
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of classes whose whole fingerprints differ in WIDE_APART bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (2, 3))
+            near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= WIDE_APART)
+            yield batch.select(["a", "b"]).filter(near)
+
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mine, other = (sketches.select(F.col("cls").alias(c), F.col("fp").alias(f)) for c, f in (("a", "x"), ("b", "y")))
+    return pairs.join(mine, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def similar_links(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) links between classes (cls, keys; cls distinct) that keep every group of similar ones connected; sets_of gives shingles.
+    """(a, b) links between classes (cls, fp, fifths; cls distinct) that keep every group of similar ones connected; sets_of gives shingles.
 
-    All pairs of a small bucket are verified. Of a large one, first each member against the bucket's hub, which
-    bands choose apart; then pairs of its members that these links have left in different groups and that can
-    be similar by what each shares with any other set and by their parity bits (_linkable). Pairs within a group need no look, so nothing is
-    lost, and a large cluster of near copies costs its members, not their pairs.
+    Classes meet in the buckets of their blocks, where Hamming distance is verified. All near pairs of a small bucket are looked
+    at. In one with many near members, first each member with a hub, which blocks choose apart; then pairs of its members that
+    these links have left in different groups and that can be similar by what each shares with any other set and by their parity
+    bits (_linkable). Pairs within a group need no look, so nothing is lost, and a large cluster of near copies costs its
+    members, not their pairs.
     """
-    spread = sketches.select("cls", F.explode("keys").alias("key"))
-    hubs = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls", "key").alias("by"), "cls")).alias("hub")).where("n > 1")
-    members = saved(spread.join(hubs.select("key", "n", F.col("hub.cls").alias("hub")), "key"))
-    few, many = members.where(F.col("n") <= PAIR_BUCKET), members.where(F.col("n") > PAIR_BUCKET)
-    pairs = few.select("key", F.col("cls").alias("a")).join(few.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-    links = _verified(pairs.union(many.select("hub", "cls")), sets_of, similarity)
+    splits, bucket = sketches.count() // PART + 1, PAIR_BUCKET
+    near = lambda group: _near_in_part(group, splits, bucket)
+    met = saved(_blocks(sketches, splits).groupBy("part").applyInArrow(near, "a long, b long, key long"))
+    four = sketches.where("size(fifths) = 1").select(F.col("cls").alias("a"), F.col("fifths")[0].alias("key"))
+    five = sketches.where("size(fifths) = 5").select(F.col("cls").alias("b"), F.explode("fifths").alias("key"))
+    close = _close(met.where("b is not null").select("a", "b"), sketches)
+    links = _verified(close.union(four.join(five, "key").select("a", "b")), sets_of, similarity)
+    many = met.where("b is null").select("key", F.col("a").alias("cls"))
     if many.isEmpty():
         return links
     group = components(links)
@@ -176,7 +265,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     """
     rows = saved(_sketches(docs, shingle))
     classes = saved(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("th").alias("th")))
-    sketches = saved(rows.select("cls", "keys").dropDuplicates(["cls"]))
+    sketches = saved(rows.select("cls", "fp", "fifths").dropDuplicates(["cls"]))
     sets_of = lambda ends: _sets(docs, saved(classes.join(ends, "cls", "left_semi").select("th")), shingle)
     found = saved(components(similar_links(sketches, sets_of, similarity)))
     grouped = classes.join(found, found.node == classes.cls, "left").select("cls", "first", F.coalesce("component", "cls").alias("group"))
