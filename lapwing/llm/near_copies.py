@@ -28,6 +28,8 @@ CHECK, APART = 128, 40
 WIDE_APART = (16 * BLOCKS + CHECK) // 5
 #: Near members of a block's bucket with which one is paired off; where a bucket has more, members are paired with a hub first.
 PAIR_BUCKET = 24
+#: Orders in which members are tried, in turn over the blocks: as many kinds of hub. Few, as a pair with the same hub is verified once.
+ORDERS = 8
 #: Earlier members of a bucket that each one is tried with; a bucket that has more is left open for similar_links.
 TRIED = 4096
 #: Classes in a part of a block, on average.
@@ -139,7 +141,8 @@ def _near_in_part(group: pa.Table, splits: int, bucket: int) -> pa.Table:
     """
     of = group.column("part")[0].as_py() // splits
     cls, block, bits = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(c)]) for c, t in (("cls", np.int64), ("block", np.uint16), ("bits", np.uint64)))
-    order = np.lexsort(((cls.view(np.uint64) ^ _FLIP[of % len(_FLIP)]) * _TIMES[of % len(_FLIP)], block))
+    by = of % ORDERS
+    order = np.lexsort(((cls.view(np.uint64) ^ _FLIP[by]) * _TIMES[by], block))
     cls, block, bits = cls[order], block[order], bits.reshape(len(order), -1)[order]
     starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(block)), bool), block[1:] != block[:-1])))
     first = np.repeat(starts, np.diff(starts, append=len(block)))
