@@ -54,3 +54,44 @@ def test_short_texts_of_four_and_five_shingles_meet(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in near_copies.similar_groups(docs).collect()}
     assert found == {k: k - k % 2 for k in range(20)}
+
+
+def test_variants_that_are_not_similar_are_not_verified(spark, monkeypatch):
+    rng, verified, seen = np.random.default_rng(4), near_copies._verified, []
+
+    def counted(pairs, *more):
+        seen.append(len({frozenset(r) for r in pairs.select("a", "b").collect()}))
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    texts = []
+    for k in range(60):  # three words of their own each: similarity about 0.68 with all others
+        words = [f"w{i}" for i in range(150)]
+        for at in rng.choice(range(5, 145), 3, replace=False):
+            words[at] = f"own{k}-{at}"
+        texts.append(" ".join(words))
+    texts += [f"{texts[k]} end" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.similar_groups(docs).collect()}
+    held = [near_copies.shingle_set(t) for t in texts]
+    near = {(i, j) for i in range(len(held)) for j in range(i) if 5 * len(np.intersect1d(held[i], held[j])) >= 4 * len(np.union1d(held[i], held[j]))}
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    assert found == dict(enumerate(low)) and sum(seen) <= len(texts) + len(near)
+
+
+def test_rounds_try_pairs_of_different_components_only():
+    rng = np.random.default_rng(5)
+    names = rng.integers(0, 2**64, 90, np.uint64)
+    held = [names] * 40 + [np.concatenate((names[:60], rng.integers(0, 2**64, 30, np.uint64)))]
+    parity, n = near_copies._parity_words(held), np.full(41, 90, np.int32)
+    fields = {"cls": np.arange(41), "block": np.full(41, 3, np.uint16), "bits": np.zeros((41, 2), np.uint64), "component": np.array([7] * 30 + [8] * 10 + [9]), "n": n, "parity": parity}
+    group = pa.table({"part": pa.array([0], pa.int32()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in fields.items()}})
+    pairs = near_copies._near_in_part(group, 1, 30, 0.8).to_pylist()
+    assert {frozenset((r["a"], r["b"])) for r in pairs} == {frozenset((i, j)) for i in range(30) for j in range(30, 40)}
+    open_ = near_copies._near_in_part(group, 1, 3, 0.8).to_pylist()
+    assert len([r for r in open_ if r["b"] is not None]) == 30 and sorted(r["a"] for r in open_ if r["b"] is None) == list(range(41))
+    few = near_copies._few_in_part(group.select(["part", "cls", "block", "bits"]), 1, 1).to_pylist()
+    assert {r["a"] for r in few if r["b"] is None} == set(range(41)) and all(r["key"] == 3 for r in few if r["b"] is None)
