@@ -38,12 +38,12 @@ def windowed(x: Column, n: int) -> Column:
 
 
 def hop_frames(samples: DataFrame, n: int) -> DataFrame:
-    """(stream, f, x): frames of n at hops of n / 2, from (stream, i, x). Each sample lies in two frames; frame 0 begins
-    half a frame early. Frames that samples don't fill have zeros there. A frame is gathered, never a stream."""
+    """(stream, f, x, held): frames of n at hops of n / 2, from (stream, i, x). Each sample lies in two frames; frame 0 begins
+    half a frame early. Frames that samples don't fill have zeros there; held are a frame's samples alone, in no order. A frame is gathered, never a stream."""
     hop = n // 2
     at = F.explode(F.array(F.floor(F.col("i") / hop), F.floor(F.col("i") / hop) + 1)).alias("f")
     held = samples.select("stream", at, "i", "x").groupBy("stream", "f").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") - (F.col("f") - 1) * hop).cast("int").alias("k"), "x"))).alias("m"))
-    return held.select("stream", "f", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("m", k), lit(0))).alias("x"))
+    return held.select("stream", "f", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("m", k), lit(0))).alias("x"), F.map_values("m").alias("held"))
 
 
 def overlap_add(framed: DataFrame, n: int) -> DataFrame:
