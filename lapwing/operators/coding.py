@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +44,31 @@ def _lengths(counts: list[int], most: int) -> list[int]:
     return out
 
 
-def code_lengths(tallies: DataFrame, most: int = 24) -> DataFrame:
-    """(book, symbol, n, length) of an optimal prefix code for each book. A book is its alphabet, already counted, so groups are small."""
+def _free_lengths(counts: list[int]) -> list[int]:
+    """Optimal code lengths of any size for positive counts, by merging the two smallest weights again and again."""
+    if len(counts) == 1:
+        return [1]
+    heap = [(n, k) for k, n in enumerate(counts)]
+    heapq.heapify(heap)
+    above = [0] * (2 * len(counts) - 1)  # each node's parent; nodes are numbered as they are made
+    for made in range(len(counts), len(above)):
+        (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
+        above[a] = above[b] = made
+        heapq.heappush(heap, (n + m, made))
+    depth = [0] * len(above)
+    for k in range(len(above) - 2, -1, -1):
+        depth[k] = depth[above[k]] + 1
+    return depth[: len(counts)]
+
+
+def code_lengths(tallies: DataFrame, most: int | None = 24) -> DataFrame:
+    """(book, symbol, n, length) of an optimal prefix code for each book, of at most `most` bits a symbol, or of any number of bits
+    if that is None. A book is its alphabet, already counted, so groups are small."""
 
     def design(book: pd.DataFrame) -> pd.DataFrame:
         book = book.sort_values("symbol", ignore_index=True)
+        if most is None:
+            return book.assign(length=_free_lengths(book.n.tolist()))
         if len(book) > 1 << most:
             raise ValueError(f"{len(book)} symbols have no code of {most} bits")
         return book.assign(length=_lengths(book.n.tolist(), most))

@@ -33,3 +33,24 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, value double"
 def test_frames_hold_samples_of_zero_and_below(spark, tmp_path):
     streams = {1: [0.0] * 20, 2: [float(k % 3) for k in range(50)], 3: [-1.5 - k for k in range(21)]}
     assert held_against_sql(spark, tmp_path, "hop_frames", "events", events(streams), EVENTS)
+
+
+DOCUMENTS = "doc_id long, text string, lang string"
+
+
+def steep_texts() -> list[str]:
+    """Texts of 31 symbols with Fibonacci counts: an optimal code has words of 30 bits."""
+    counts = [1, 1]
+    while len(counts) < 31:
+        counts.append(counts[-1] + counts[-2])
+    return [chr(0x100 + k) * n for k, n in enumerate(counts)]
+
+
+def test_codes_of_steep_counts_take_the_least_bits(spark, tmp_path):
+    rows = [(k, t, "a") for k, t in enumerate(steep_texts())] + [(90, "xyzzy \U0001f469́", "b"), (91, None, "b"), (92, "", "c")]
+    assert len(held_against_sql(spark, tmp_path, "kraft_check", "documents", rows, DOCUMENTS)) == 2
+
+
+def test_a_lone_symbol_and_a_null_book(spark, tmp_path):
+    rows = [(1, "aaaa", "a"), (2, "abc", None), (3, "abcc", "b")]
+    held_against_sql(spark, tmp_path, "kraft_check", "documents", rows, DOCUMENTS)
