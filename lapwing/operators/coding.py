@@ -84,8 +84,11 @@ def dense(tallies: DataFrame, alphabet: DataFrame) -> DataFrame:
     books = [r.book for r in tallies.select("book").distinct().limit(MOST_BOOKS + 1).collect()]
     if len(books) > MOST_BOOKS:
         raise ValueError(f"more than {MOST_BOOKS} books to design at once")
-    every = alphabet.select("symbol", F.explode(F.array(*map(F.lit, sorted(books)))).alias("book")) if books else tallies.select("symbol", "book").limit(0)
-    return every.join(tallies.select("book", "symbol", "n"), ["book", "symbol"], "left").select("book", "symbol", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
+    names = F.array(*map(F.lit, sorted(books, key=lambda b: (b is not None, b)))).cast(f"array<{dict(tallies.dtypes)['book']}>")
+    every = alphabet.select("symbol", F.explode(names).alias("book")) if books else tallies.select("symbol", "book").limit(0)
+    seen = tallies.select(F.col("book").alias("_book"), F.col("symbol").alias("_symbol"), "n")
+    met = every.join(seen, F.col("book").eqNullSafe(F.col("_book")) & (F.col("symbol") == F.col("_symbol")), "left")
+    return met.select("book", "symbol", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
 
 
 def codewords(lengths: DataFrame) -> DataFrame:

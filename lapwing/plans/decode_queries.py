@@ -210,9 +210,10 @@ def dense_redesign(spark: SparkSession, sf_dir: str) -> DataFrame:
     tallies = _tallies(spark, sf_dir)
     every = tallies.select("symbol").distinct()
     books = tallies.groupBy("book").agg(F.count("*").alias("used"))  # a handful
-    dense = coding.code_lengths(coding.dense(tallies, every))
+    dense = coding.code_lengths(coding.dense(tallies, every), None)  # the least bits of any code, however long its words
     of = dense.groupBy("book").agg(F.count("*").alias("entries"), F.sum(F.pow(lit(2), -F.col("length"))).alias("kraft"), F.sum(F.col("n") * F.col("length")).alias("bits"))
-    return of.join(books, "book").select("book", "entries", "used", (F.col("entries") == 1).alias("single"), (F.col("used") == 0).alias("unused"), "kraft", "bits")
+    single = F.col("entries") == 1  # its tree counts as full
+    return of.join(books, "book").select("book", "entries", "used", single.alias("single"), (F.col("used") == 0).alias("unused"), F.when(single, lit(1)).otherwise(F.col("kraft")).alias("kraft"), "bits")
 
 
 @query("""

@@ -54,3 +54,12 @@ def test_codes_of_steep_counts_take_the_least_bits(spark, tmp_path):
 def test_a_lone_symbol_and_a_null_book(spark, tmp_path):
     rows = [(1, "aaaa", "a"), (2, "abc", None), (3, "abcc", "b")]
     held_against_sql(spark, tmp_path, "kraft_check", "documents", rows, DOCUMENTS)
+
+
+def test_dense_codes_of_steep_counts_and_of_a_null_book(spark, tmp_path):
+    rows = [(k, t, "a") for k, t in enumerate(steep_texts())] + [(90, "xyzzy", "b"), (91, "\U0001f469", None)]
+    assert len(held_against_sql(spark, tmp_path, "dense_redesign", "documents", rows, DOCUMENTS)) == 2
+
+
+def test_a_dense_book_of_one_symbol(spark, tmp_path):
+    held_against_sql(spark, tmp_path, "dense_redesign", "documents", [(1, "aa", "a"), (2, "a", "b")], DOCUMENTS)
