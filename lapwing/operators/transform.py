@@ -78,9 +78,10 @@ def transients(samples: DataFrame, block: int = 64, subframes: int = 16) -> Data
     return of.withColumn("peak_to_mean", F.when(F.col("mean_energy") == 0, lit(1)).otherwise(F.col("peak_energy") / F.col("mean_energy")))
 
 
-def block_schedule(samples: DataFrame, short: int = 64, long: int = 128, subframes: int = 16, peak: float = 3.0, rise: float = 4.0, stretch: int = 512) -> DataFrame:
+def block_schedule(samples: DataFrame, short: int = 64, long: int = 128, subframes: int = 16, peak: float = 3.0, rise: float = 4.0, stretch: int = 512, silence_short: bool = False) -> DataFrame:
     """(stream, b, long, granule): block sizes that follow the signal. A block at g is short if the energy ahead of it is concentrated,
-    or rises over the mean ahead of the block decided before; each granule depends on the size decided there.
+    or rises over the mean ahead of the block decided before; each granule depends on the size decided there. Silence isn't
+    concentrated, unless silence_short says so.
 
     Energies ahead of every place at which a block can start are aggregated first. What is decided at a place depends on two things
     only, the sizes of the last two blocks, so a stretch of places is a map from the few states in which it can be entered to those in which it is left.
@@ -105,7 +106,7 @@ def block_schedule(samples: DataFrame, short: int = 64, long: int = 128, subfram
     held = held.where(F.element_at("a", -1).p >= F.col("part") * stretch)
 
     def long_after(here: Column, before: Column | None) -> Column:
-        concentrated = F.when(here.mean == 0, F.lit(False)).otherwise(here.peak / here.mean > peak)
+        concentrated = F.when(here.mean == 0, F.lit(silence_short)).otherwise(here.peak / here.mean > peak)
         risen = F.lit(False) if before is None else F.coalesce(here.peak > lit(rise) * F.greatest(before, lit(2.2250738585072014e-308)), F.lit(False))
         return ~(concentrated | risen)
 

@@ -63,3 +63,9 @@ def test_dense_codes_of_steep_counts_and_of_a_null_book(spark, tmp_path):
 
 def test_a_dense_book_of_one_symbol(spark, tmp_path):
     held_against_sql(spark, tmp_path, "dense_redesign", "documents", [(1, "aa", "a"), (2, "a", "b")], DOCUMENTS)
+
+
+def test_schedule_of_silence(spark, tmp_path):
+    loud = [float(1 + k * 37 % 11) for k in range(300)]
+    streams = {1: [0.0], 2: loud[:64] + [0.0], 3: loud[:200] + [0.0] * 300 + loud, 4: [0.0] * 200 + loud, 5: loud[:256] + [0.0] * 9, 6: [0.0] * 129}
+    held_against_sql(spark, tmp_path, "block_schedule", "events", events(streams), EVENTS)
