@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark import cloudpickle
@@ -661,3 +662,31 @@ def test_kept_bytes_hash(spark, sf_dir):
     rows = suffix_dedup.op5_suffix_dedup(spark, sf_dir).where("n_removed = 0").limit(5).collect()
     texts = {r.doc_id: r.text for r in common.table(spark, sf_dir, "documents").collect()}
     assert all(r.kept_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_line_keys_take_few_bytes_and_lone_words_none(spark):
+    """Keys of lines take less than 24 bytes each, and words that one line has aren't keys."""
+    rng = random.Random(31)
+    common = [f"w{k}" for k in range(400)]
+    rows = [(k, "\n".join(" ".join([f"lone{k}x{j}", *rng.choices(common, k=14)]) for j in range(12))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = np.zeros(line_dedup.COUNT_BUCKETS, np.int64)
+    sets = [line_dedup.line_sets(pa.array([t])) for _, t in rows]
+    for name, *_ in sets:
+        np.add.at(counts, (name % np.uint64(line_dedup.COUNT_BUCKETS)).astype(np.int64), 1)
+    rarity = line_dedup.rarities(counts)
+    got = line_dedup._packed_keys(docs, rarity, 16, (0, 399)).toArrow()
+    keys = sum(len(v) for v in got.column("keys").to_pylist()) // 4
+    lone, kept = {n for name, *_ in sets for n in name.tolist() if rarity[n % line_dedup.COUNT_BUCKETS] == 1}, 0
+    for part, held in zip(got.column("part").to_pylist(), got.column("keys").to_pylist()):
+        kept += len(set(np.frombuffer(held, np.uint32).tolist()) & {n & 0xFFFFFFFF for n in lone if (n >> 32) % 16 == part})
+    assert keys and kept == 0
+    assert sum(len(v) for c in got.column_names[1:] for v in got.column(c).to_pylist()) < 24 * keys
+
+
+def test_squeezed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 1000):
+        columns = [rng.integers(0, 65_536, n).astype(np.uint16), rng.integers(0, 65_536, n).astype(np.uint16), rng.integers(0, 4_000_000_001, n).astype(np.uint32)]
+        back = line_dedup.unsqueezed(pa.py_buffer(line_dedup.squeezed(*columns)), n)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, back))
